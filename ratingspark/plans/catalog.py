@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from ratingspark.plans import q_statements  # noqa: F401
+from ratingspark.plans import q_model  # noqa: F401
