@@ -10,6 +10,7 @@ from ratingspark.functions import scalars as sc
 from ratingspark.operators import clean as cl
 from ratingspark.operators import features as fe
 from ratingspark.operators import merge as mg
+from ratingspark.operators.fundamentals import materialize
 from ratingspark.plans import sql_model as sm
 from ratingspark.plans.registry import register
 from ratingspark.plans.sql_bindings import q
@@ -44,17 +45,21 @@ def W(*ctes: str) -> str:
 
 
 # ---------------------------------------------------------------- pipeline pieces (Spark)
+# Stage boundaries: each fitted statistic re-reads its input, so the inputs of
+# the statistics (feature rows, merged set, cleaned set) are checkpointed to
+# the shared checkpoint folder once and every later aggregate starts there.
 def feats(spark, sf):
-    return fr.feature_rows(spark, sf)
+    return materialize(fr.feature_rows(spark, sf))
 
 
 def train_test(spark, sf):
-    return mg.merge(feats(spark, sf))
+    train, pred = mg.merge(feats(spark, sf))
+    return materialize(train), pred
 
 
 def cleaned(spark, sf):
     train, _ = train_test(spark, sf)
-    return cl.clean(train, tiebreak="copy_no")
+    return materialize(cl.clean(train, tiebreak="copy_no"))
 
 
 def engineered(spark, sf):
