@@ -21,14 +21,21 @@ from ratingspark.operators import items as it
 FEATURE_COLS = list(fv.FEATURE_NAMES.values())
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Stage boundary: write the per-ticker resolved table to the shared
-    checkpoint folder (``spark.checkpoint.dir``) and continue from it. This
-    cuts the resolver lineage (a lost executor re-reads the file instead of
-    re-running every join) and keeps the ratio projection's plan small."""
-    from ratingspark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Stage boundary: write ``df`` once as Parquet under the shared checkpoint
+    folder (``spark.checkpoint.dir``) and continue from the written table.
+
+    This cuts the lineage (a lost executor re-reads files instead of re-running
+    every upstream join and aggregate), lets each later statistic scan a
+    columnar table with pruning instead of recomputing the chain, and keeps
+    downstream plans small. Each call writes a fresh folder (no overwrite, no
+    delete), so concurrent jobs never clash."""
+    import uuid
+
+    from ratingspark.session import scratch_path
+    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _truthy(c: Column) -> Column:
@@ -47,7 +54,8 @@ def _pivot(vals: DataFrame, names: list[str]) -> DataFrame:
 def resolved_values_a(items: DataFrame) -> DataFrame:
     """Wide table: one row per ticker, one column ``<lookup>@<idx>`` per
     resolved line item (resolver A)."""
-    ranked = it.rank_periods(items)
+    # one written table feeds every resolver pass (ranks, layouts, values)
+    ranked = materialize(it.rank_periods(items), "ranked")
     lookups = it.lookups_variant_a()
     resolved = it.resolve_items_a(ranked, lookups)
     v0 = it.values_at(ranked, resolved, 0)
@@ -265,7 +273,8 @@ def lookups_variant_b() -> list[tuple[str, str, list[str], int]]:
 def crawl_features(items: DataFrame, firms: DataFrame, gate: bool = True) -> DataFrame:
     """B1-B7 plus gate C5 (at least 4 non-null features). Sector comes from a
     left lookup by ticker with default ``Other`` (J3)."""
-    ranked = it.rank_periods(items)
+    # one written table feeds every resolver pass (ranks, layouts, values)
+    ranked = materialize(it.rank_periods(items), "ranked")
     lk = lookups_variant_b()
     vals = it.resolve_values_b(ranked, lk).withColumnRenamed("lookup", "name")
     names = [n for n, _, _, _ in lk]

@@ -85,6 +85,29 @@ def _substring_matches(keys: DataFrame, cands: DataFrame, key_col: str, lens: se
 
 
 # ---------------------------------------------------------------- P13
+def _availability(items: DataFrame) -> DataFrame:
+    """(ticker, statement, item_id, seen): items with at least one non-null
+    cell and their first-seen position (newest period first, then row order).
+    Partial aggregation combines a ticker's periods before the shuffle."""
+    return (items.filter(F.col("value").isNotNull())
+            .groupBy(*KEYS, "item_id")
+            .agg(F.min(F.struct("period_rank", "item_pos")).alias("seen")))
+
+
+def layouts(avail: DataFrame) -> DataFrame:
+    """Per (ticker, statement): its layout = the available item ids in
+    first-seen order, and ``layout_id``, a digest of (statement, layout).
+
+    Resolver A's choice depends on nothing else, so it is computed once per
+    distinct layout — statement templates repeat across firms, so there are
+    far fewer layouts than tickers — and joined back. A (ticker, statement)
+    holds at most the statement's distinct item ids, so the list is bounded."""
+    s = avail.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seen", "item_id"))).alias("_s"))
+    ids = F.transform("_s", lambda x: x["item_id"])
+    return s.select(*KEYS, ids.alias("layout")).withColumn(
+        "layout_id", F.sha2(F.concat_ws("\u0001", F.col("statement"), F.array_join("layout", "\u0001")), 256))
+
+
 def resolve_items_a(items: DataFrame, lookups: list[tuple[str, str, list[str]]]) -> DataFrame:
     """Resolver A: per (ticker, lookup) choose ONE item id.
 
@@ -92,36 +115,45 @@ def resolve_items_a(items: DataFrame, lookups: list[tuple[str, str, list[str]]])
     key (lower/trim, and with ``(...)`` removed), then as a substring of the
     keys in first-seen column order. The chosen item is kept even if its value
     at the wanted period is null. Output: (ticker, statement, lookup, item_id).
-    """
-    spark = items.sparkSession
+    The matching runs on the distinct layouts only (see ``layouts``)."""
+    lay = layouts(_availability(items))
+    reps = (lay.select("layout_id", "statement", "layout").dropDuplicates(["layout_id", "statement"])
+            .select("layout_id", "statement", F.posexplode("layout").alias("pos", "item_id"))
+            .select("layout_id", "statement", "item_id",
+                    F.struct(F.lit(0).alias("period_rank"), F.col("pos").alias("item_pos")).alias("seen")))
+    chosen = _resolve_core(reps, lookups, ["layout_id", "statement"])
+    # one row per (layout, lookup); AQE broadcasts it when it is small
+    return lay.select(*KEYS, "layout_id").join(chosen, ["layout_id", "statement"]).select(
+        *KEYS, "lookup", "item_id")
+
+
+def _resolve_core(avail: DataFrame, lookups: list[tuple[str, str, list[str]]], keys: list[str]) -> DataFrame:
+    spark = avail.sparkSession
     cands = F.broadcast(candidate_table(spark, lookups))  # fixed size: bounded broadcast
-    avail = (items.filter(F.col("value").isNotNull())
-             .groupBy(*KEYS, "item_id")
-             .agg(F.min(F.struct("period_rank", "item_pos")).alias("seen")))
-    k1 = avail.select(*KEYS, "item_id", F.lower(F.trim("item_id")).alias("key"),
+    k1 = avail.select(*keys, "item_id", F.lower(F.trim("item_id")).alias("key"),
                       F.struct(F.col("seen"), F.lit(0).alias("w")).alias("prod"))
     stripped = F.lower(F.trim(F.regexp_replace("item_id", r"\s*\(.*?\)\s*", "")))
-    k2 = avail.select(*KEYS, "item_id", stripped.alias("key"),
+    k2 = avail.select(*keys, "item_id", stripped.alias("key"),
                       F.struct(F.col("seen"), F.lit(1).alias("w")).alias("prod")).filter(F.col("key") != "")
-    lookup = (k1.unionByName(k2).groupBy(*KEYS, "key")
+    lookup = (k1.unionByName(k2).groupBy(*keys, "key")
               .agg(F.max_by("item_id", "prod").alias("owner"), F.min("prod").alias("key_pos")))
 
     zero = F.struct(F.struct(F.lit(0).alias("period_rank"), F.lit(0).alias("item_pos")).alias("seen"),
                     F.lit(0).alias("w"))
     exact = avail.join(cands.withColumnRenamed("cand", "item_id"), ["statement", "item_id"]).select(
-        *KEYS, "lookup", "cand_rank", F.lit(0).alias("kind"), zero.alias("key_pos"),
+        *keys, "lookup", "cand_rank", F.lit(0).alias("kind"), zero.alias("key_pos"),
         F.col("item_id").alias("chosen"))
     norm = lookup.join(cands.withColumnRenamed("cand_norm", "key"), ["statement", "key"]).select(
-        *KEYS, "lookup", "cand_rank", F.lit(1).alias("kind"), "key_pos", F.col("owner").alias("chosen"))
-    keys = lookup.select("key").distinct()
-    sub_hits = _substring_matches(keys, cands, "key",
+        *keys, "lookup", "cand_rank", F.lit(1).alias("kind"), "key_pos", F.col("owner").alias("chosen"))
+    dkeys = lookup.select("key").distinct()
+    sub_hits = _substring_matches(dkeys, cands, "key",
                                   {len(c.strip().lower()) for _, _, cs in lookups for c in cs})
     sub = (lookup.join(sub_hits, "key")
            .join(cands, ["statement", "cand_norm"])
-           .select(*KEYS, "lookup", "cand_rank", F.lit(2).alias("kind"), "key_pos",
+           .select(*keys, "lookup", "cand_rank", F.lit(2).alias("kind"), "key_pos",
                    F.col("owner").alias("chosen")))
     hits = exact.unionByName(norm).unionByName(sub)
-    return (hits.groupBy(*KEYS, "lookup")
+    return (hits.groupBy(*keys, "lookup")
             .agg(F.min_by("chosen", F.struct("cand_rank", "kind", "key_pos")).alias("item_id")))
 
 

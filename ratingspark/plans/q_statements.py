@@ -70,7 +70,7 @@ def w1_period_rank(spark, sf):
         "round(CAST(v.value AS DOUBLE), 6) + 0.0 AS v.value", "round(CAST(v.value AS DOUBLE), 6) + 0.0 AS value"))
 def p13_resolver_a(spark, sf):
     """Chosen line item per (ticker, lookup) and its newest value (may be null)."""
-    ranked = it.rank_periods(b.statement_item(spark, sf))
+    ranked = fd.materialize(it.rank_periods(b.statement_item(spark, sf)), "ranked")
     res = it.resolve_items_a(ranked, it.lookups_variant_a())
     return it.values_at(ranked, res, 0).select("ticker", "lookup", "item_id", "value")
 
@@ -80,7 +80,7 @@ def p13_resolver_a(spark, sf):
     [("ticker", "s"), ("lookup", "s"), ("value", "d")]))
 def p14_resolver_b(spark, sf):
     """First non-null value per (ticker, lookup) at its period index."""
-    ranked = it.rank_periods(b.statement_item(spark, sf))
+    ranked = fd.materialize(it.rank_periods(b.statement_item(spark, sf)), "ranked")
     return it.resolve_values_b(ranked, fd.lookups_variant_b())
 
 
@@ -104,7 +104,7 @@ def w2_yoy_growth(spark, sf):
     [("ticker", "s"), ("prev_revenue", "d"), ("prev_equity", "d")]))
 def w3_previous_period(spark, sf):
     """Values read at period index 1 (previous year) by resolver B."""
-    ranked = it.rank_periods(b.statement_item(spark, sf))
+    ranked = fd.materialize(it.rank_periods(b.statement_item(spark, sf)), "ranked")
     lk = [x for x in fd.lookups_variant_b() if x[3] == 1]
     v = it.resolve_values_b(ranked, lk)
     w = v.groupBy("ticker").pivot("lookup", [x[0] for x in lk]).agg(F.max("value"))
