@@ -167,3 +167,14 @@ def x10_x16_scalars(spark, sf):
         sc.strip_parens(label).alias("stripped"),
         sc.percent_to_ratio(F.col("roa") * 100, heuristic=True).alias("roa_from_percent"),
         sc.log_size(F.col("market_cap")).alias("log_size"))
+
+
+@register("s5_streaming_ingest", sql=WS() + """
+SELECT ticker, statement, period, CAST(item_pos AS BIGINT) AS item_pos, item_id, round(value, 6) + 0.0 AS value
+FROM statement_item""")
+def s5_streaming_ingest(spark, sf):
+    """Two drops of the landed statements streamed through the cached ingest:
+    every ticker's rows end up in the store exactly once."""
+    from ratingspark.streaming.ingest import ingest_statements
+    return ingest_statements(spark, b.statement_item(spark, sf)).select(
+        "ticker", "statement", "period", "item_pos", "item_id", "value")
