@@ -28,11 +28,13 @@ FEATURES = ["roa", "roe", "roce", "ebit_margin", "current_ratio", "debt_to_asset
 def latest_per_key(df: DataFrame, key: str, order: Column, tiebreak: Column) -> DataFrame:
     """A1: newest row per key (nulls last), ties broken by ``tiebreak`` desc.
 
-    A window ranks rows inside each key; the shuffle is on the key only, and a
-    key holds one firm's observations (tens to thousands), so no task ever sees
-    a whole table. ``max_by`` would also work but needs a struct per column."""
-    w = Window.partitionBy(key).orderBy(order.desc_nulls_last(), tiebreak.desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    One ``max_by`` aggregate over a struct of the row: it combines map-side
+    before the shuffle, so a key holding a third of all rows never sorts or
+    lands whole in one task (a window would). ``max`` orders nulls first, which
+    is exactly "descending, nulls last"."""
+    cols = [c for c in df.columns if c != key]
+    best = df.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(order.alias("o"), tiebreak.alias("t"))).alias("_r"))
+    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def latest_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,17 +48,18 @@ def latest_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rating_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per firm: latest folded grade (truth) and the grade before it
-    (prediction) — a model-free prediction/truth pair for the metrics."""
+    (prediction) — a model-free prediction/truth pair for the metrics.
+
+    Two ``max_by`` passes instead of a ranking window: the second runs on the
+    events minus each firm's latest one (an anti-join on the unique event id,
+    so no key is hot)."""
     ev = b.rating_event(spark, sf_dir).withColumn("grade", fold_grade(F.col("raw_rating"), "drop"))
-    ev = ev.filter(F.col("grade").isNotNull())
-    w = Window.partitionBy("ticker").orderBy(F.col("rated_on").desc_nulls_last(), F.col("event_id").desc())
-    r = ev.withColumn("_rn", F.row_number().over(w))
-    # two rows per firm survive the filter, so the pivot below is bounded
-    two = r.filter("_rn <= 2")
-    return (two.groupBy("ticker")
-            .agg(F.max(F.when(F.col("_rn") == 1, F.col("grade"))).alias("truth"),
-                 F.max(F.when(F.col("_rn") == 2, F.col("grade"))).alias("pred"))
-            .filter(F.col("pred").isNotNull()))
+    ev = ev.filter(F.col("grade").isNotNull()).select("ticker", "event_id", "rated_on", "grade")
+    first = latest_per_key(ev, "ticker", F.col("rated_on"), F.col("event_id"))
+    rest = ev.join(first.select("event_id"), "event_id", "left_anti")
+    second = latest_per_key(rest, "ticker", F.col("rated_on"), F.col("event_id"))
+    return first.select("ticker", F.col("grade").alias("truth")).join(
+        second.select("ticker", F.col("grade").alias("pred")), "ticker")
 
 
 # ---------------------------------------------------------------- feature rows
