@@ -178,3 +178,52 @@ def s5_streaming_ingest(spark, sf):
     from ratingspark.streaming.ingest import ingest_statements
     return ingest_statements(spark, b.statement_item(spark, sf)).select(
         "ticker", "statement", "period", "item_pos", "item_id", "value")
+
+
+# ---------------------------------------------------------------- S1 / S2, S8, S10-S12
+@register("s1_s2_csv_roundtrip", sql=W() + "\nSELECT " + qm.rsel(qm.META + qm.FEATURES, set(qm.FEATURES))
+          + " FROM feats")
+def s1_s2_csv_roundtrip(spark, sf):
+    """Feature rows exported as header CSV (stage sink) under the shared
+    folder and read back with an explicit schema (no inference pass)."""
+    import uuid
+
+    from ratingspark.session import scratch_path
+    from ratingspark.sources import ingest
+    f = qm.feats(spark, sf)
+    path = scratch_path(spark, f"export/features-{uuid.uuid4().hex}")
+    ingest.write_stage(f, path, fmt="csv")
+    return ingest.read_csv(spark, path, f.schema)
+
+
+@register("s8_rating_history", sql=W() + """
+SELECT ticker, CAST(event_id AS BIGINT) AS event_id, CAST(rated_on AS VARCHAR) AS rated_on FROM latest_rating""")
+def s8_rating_history(spark, sf):
+    """Rating history with day-first date text: parse (bad text -> null) and
+    keep the newest observation per ticker."""
+    from ratingspark.sources import ingest
+    ev = b.rating_event(spark, sf).select("ticker", "event_id",
+                                          F.date_format("rated_on", "dd/MM/yyyy").alias("date_text"))
+    parsed = ev.withColumn("rated_on", ingest.parse_day_first(F.col("date_text")))
+    latest = ingest.latest_per_key(parsed, "ticker", "rated_on", "event_id", ["event_id", "rated_on"])
+    return latest.select("ticker", "event_id", F.col("rated_on").cast("string").alias("rated_on"))
+
+
+@register("s10_s11_profile_by_exchange", sql=W() + """
+SELECT ticker, exchange, company_name FROM firm WHERE upper(exchange) = 'ASIA'""")
+def s10_s11_profile_by_exchange(spark, sf):
+    """Company profile (first non-blank name / exchange) and the universe of
+    one exchange, matched case-insensitively."""
+    from ratingspark.sources import ingest
+    prof = ingest.company_profile(b.firm(spark, sf))
+    return ingest.universe_by_exchange(prof, "asia")
+
+
+@register("s12_ticker_list", sql=W() + """
+SELECT DISTINCT upper(ticker) AS ticker FROM firm""")
+def s12_ticker_list(spark, sf):
+    """Ticker lists typed as text (``" f1 ,, F1"``) parsed to upper-cased,
+    trimmed, non-empty tickers."""
+    from ratingspark.sources import ingest
+    txt = b.firm(spark, sf).select(F.concat(F.lit(" "), F.lower("ticker"), F.lit(" ,, "), F.col("ticker")).alias("t"))
+    return txt.select(F.explode(ingest.parse_ticker_list(F.col("t"))).alias("ticker")).distinct()
