@@ -79,6 +79,9 @@ FEATURE_NAMES = {
     "Market_Cap": "market_cap",
 }
 
+# Canonical identifier / label columns of a feature file.
+CANONICAL_META = ["Ticker", "Sector", "Credit_Rating"]
+
 UNIVERSAL_FEATURES = [
     "ROA", "ROE", "ROCE", "EBIT_Margin",
     "Current_Ratio", "Revenue_Growth_YoY", "Log_Revenue", "Market_Cap",

@@ -227,3 +227,32 @@ def s12_ticker_list(spark, sf):
     from ratingspark.sources import ingest
     txt = b.firm(spark, sf).select(F.concat(F.lit(" "), F.lower("ticker"), F.lit(" ,, "), F.col("ticker")).alias("t"))
     return txt.select(F.explode(ingest.parse_ticker_list(F.col("t"))).alias("ticker")).distinct()
+
+
+# ---------------------------------------------------------------- P1, P2, P6, P8, P12
+_DISPLAY = {v: k for k, v in FN.items()}
+
+
+def _file_like(df):
+    """The feature rows as an unknown file would carry them: display names in
+    upper case, meta names with blanks, one canonical column missing."""
+    cols = [F.col("ticker").alias("TICKER"), F.col("sector").alias("sector"),
+            F.col("credit_rating").alias("credit rating")]
+    cols += [F.col(c).alias(_DISPLAY[c].upper()) for c in qm.FEATURES if c != "market_cap"]
+    return df.select(*cols)
+
+
+_P_OUT = ["Ticker", "Sector", "Credit_Rating"] + [_DISPLAY[c] for c in qm.FEATURES]
+
+
+@register("p1_p2_p6_p8_generic_mapping", sql=W() + "\nSELECT ticker AS \"Ticker\", sector AS \"Sector\", "
+          + "credit_rating AS \"Credit_Rating\", " + ", ".join(
+              f"round({c}, 6) + 0.0 AS \"{_DISPLAY[c]}\"" for c in qm.FEATURES if c != "market_cap")
+          + ", CAST(NULL AS DOUBLE) AS \"Market_Cap\", 'unknown' AS data_source FROM feats")
+def p1_p2_p6_p8_generic_mapping(spark, sf):
+    """A feature file of unknown origin: detected by column signature (P1),
+    dispatched (P2) to the generic mapper (P6), missing canonical columns
+    added as null (P8)."""
+    raw = _file_like(qm.feats(spark, sf))
+    mapped = mp.add_missing(mp.map_any(raw), [_DISPLAY[c] for c in qm.FEATURES])
+    return mp.with_identity_defaults(mapped).select(*[F.col(f"`{c}`") for c in _P_OUT], "data_source")
