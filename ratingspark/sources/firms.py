@@ -79,10 +79,12 @@ def feature_rows(spark: SparkSession, sf_dir: str, from_statements: bool = False
             firms.select("ticker", "sector", "data_source"), "ticker")
     else:
         fy = b.firm_year(spark, sf_dir)
+        # one pass over firm_year: the previous year's revenue is the next row
+        # of the same newest-first window (a firm's years: a bounded partition)
         w = Window.partitionBy("firm_id").orderBy(F.col("period").desc())
-        fy = fy.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 2")
-        prev = fy.filter("_rn = 2").select("firm_id", _d("net_revenue").alias("_rev1"))
-        cur = fy.filter("_rn = 1").join(prev, "firm_id", "left").join(firms, "firm_id")
+        fy = (fy.withColumn("_rn", F.row_number().over(w))
+              .withColumn("_rev1", F.lead(_d("net_revenue")).over(w)))
+        cur = fy.filter("_rn = 1").join(firms, "firm_id")
         ta, tl = _d("total_assets"), _d("total_liabilities")
         eq = (F.col("total_assets") - F.col("total_liabilities")).cast("double")
         op, rev = _d("operating_profit"), _d("net_revenue")
