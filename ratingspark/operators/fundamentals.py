@@ -150,6 +150,10 @@ def adapter_features(items: DataFrame, firms: DataFrame, gate: bool = True) -> D
 
     # ---- stage 2: current-ratio path (D3/D4) as one struct
     s3 = s2.withColumn("_cr", _current_ratio(g, is_bank, ca, cl, ta, tl))
+    # write the per-ticker intermediate amounts: the fallback chains and the
+    # ratio chains then compile as two stages, each within the JVM's method
+    # size limit (one fused stage falls back to interpreted evaluation)
+    s3 = materialize(s3, "adapter_amounts")
 
     # ---- stage 3: ratios
     ebit = F.col("ebit")
