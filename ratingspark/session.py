@@ -46,7 +46,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="ratingspark-ckpt-")
         spark.conf.set(_CKPT_KEY, d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        pass
     return d
 
 
