@@ -256,3 +256,23 @@ def p1_p2_p6_p8_generic_mapping(spark, sf):
     raw = _file_like(qm.feats(spark, sf))
     mapped = mp.add_missing(mp.map_any(raw), [_DISPLAY[c] for c in qm.FEATURES])
     return mp.with_identity_defaults(mapped).select(*[F.col(f"`{c}`") for c in _P_OUT], "data_source")
+
+
+def _a11_sql() -> str:
+    present = [c for c in qm.FEATURES if c != "market_cap"]
+    parts = ["SELECT 'n_records' AS item, CAST(count(*) AS VARCHAR) AS value FROM feats",
+             "SELECT 'missing_feature_cols', 'Market_Cap'",
+             "SELECT 'missing_meta_cols', ''",
+             "SELECT 'is_valid', 'false'"]
+    for c in present:
+        pct = f"round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100, 1)"
+        parts.append(f"SELECT 'null_pct:{_DISPLAY[c]}', CAST(CAST({pct} AS DOUBLE) AS VARCHAR) FROM feats "
+                     f"HAVING {pct} > 0")
+    return W() + "\n" + "\nUNION ALL ".join(parts)
+
+
+@register("a11_validation_report", sql=_a11_sql())
+def a11_validation_report(spark, sf):
+    """Validation report of the mapped file of unknown origin (one canonical
+    feature column is absent)."""
+    return mp.validation_report(mp.map_any(_file_like(qm.feats(spark, sf))))
