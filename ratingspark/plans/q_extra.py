@@ -276,3 +276,37 @@ def a11_validation_report(spark, sf):
     """Validation report of the mapped file of unknown origin (one canonical
     feature column is absent)."""
     return mp.validation_report(mp.map_any(_file_like(qm.feats(spark, sf))))
+
+
+# ---------------------------------------------------------------- X5, S9, S15
+@register("x5_numeric_coercion", sql=W() + """
+SELECT ticker, TRY_CAST(CAST(acctbal AS VARCHAR) AS DOUBLE) AS acctbal_num,
+       TRY_CAST(company_name AS DOUBLE) AS name_num FROM firm""")
+def x5_numeric_coercion(spark, sf):
+    """Text cells coerced to numbers; text that does not parse becomes null."""
+    f = b.firm(spark, sf)
+    return f.select("ticker", sc.to_double(F.col("acctbal").cast("string")).alias("acctbal_num"),
+                    sc.to_double(F.col("company_name")).alias("name_num"))
+
+
+@register("s9_sector_listing", sql=W() + """
+SELECT upper(ticker) AS ticker, arg_max(trim(sector_raw), firm_id) AS sector_vn FROM firm
+WHERE trim(sector_raw) IS NOT NULL AND trim(sector_raw) NOT IN ('', 'nan', 'None') GROUP BY upper(ticker)""")
+def s9_sector_listing(spark, sf):
+    """Listing file with aliased columns (symbol / industry name): blank and
+    'nan' sectors dropped, ticker upper-cased, last row wins."""
+    from ratingspark.sources import ingest
+    listing = b.firm(spark, sf).select(F.col("ticker").alias("symbol"), F.col("sector_raw").alias("industry_name"),
+                                       "firm_id")
+    return ingest.sector_listing(listing, "firm_id")
+
+
+@register("s15_flatten_columns", sql=W() + """
+SELECT ticker, round(roa, 6) + 0.0 AS ratios_roa, round(roe, 6) + 0.0 AS ratios_roe,
+       round(debt_to_assets, 6) + 0.0 AS ratios_leverage_debt_to_assets FROM feats""")
+def s15_flatten_columns(spark, sf):
+    """Nested (multi-level) column names flattened by joining the path."""
+    from ratingspark.sources import ingest
+    f = qm.feats(spark, sf)
+    nested = f.select("ticker", F.struct("roa", "roe", F.struct("debt_to_assets").alias("leverage")).alias("ratios"))
+    return ingest.flatten_columns(nested)
