@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingspark.llm import near_dup
+from ratingspark.llm import bpe, near_dup, warc
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of ``documents`` over two-word shingles."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_dup.near_duplicates(docs, width=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op7_trie_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text decoded from them."""
+    return bpe.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op1_warc_archive", warc.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of a content-addressed archive, read back."""
+    return warc.page_digests(spark.read.parquet(f"{sf_dir}/pages.parquet"))
