@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingspark.llm import bpe, near_dup, warc
+from ratingspark.llm import bpe, decontaminate, fingerprints, lang_id, line_dedup, near_dup, secret_scan, warc
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,34 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a record of a content-addressed archive, read back."""
     return warc.page_digests(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op4_bottom_k")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op6_zstd_novelty")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.span_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op8_hierarchical_svm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return lang_id.predictions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op5_latent_semantic")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak."""
+    return decontaminate.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"),
+                                      spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op3_template_lines", line_dedup.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines."""
+    return line_dedup.line_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
