@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingspark.llm import bpe, decontaminate, fingerprints, lang_id, line_dedup, near_dup, secret_scan, warc
+from ratingspark.llm import (bpe, decontaminate, fingerprints, lang_id, license_scan, line_dedup, near_dup,
+                             secret_scan, sharding, warc)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its recurring lines."""
     return line_dedup.line_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op9_label_propagation")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op10_license_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of the documents' paragraphs."""
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
