@@ -1,26 +1,22 @@
 """Cleaning: source-priority dedup (A2), sector statistics (A5-A8), group fill
 (W5 / I3), IQR clip (X4) and the composed clean step (I4).
 
-Every statistic is one ``groupBy`` (per sector) or one global aggregate for all
-features at once, joined back onto the rows. Sector keys are the normalised
-vocabulary (at most 16 values), so the per-sector stat table is bounded and
-broadcast; the global stat table is a single row.
-
-Exact quantiles (``percentile``) buffer the distinct values of a group. That is
-what parity needs; on very large inputs pass ``approx=True`` to switch to
-``percentile_approx`` (bounded memory, mergeable sketches).
+Quantiles are exact and distributed (``quantiles``). Each statistic reads its
+input again, so the composed step writes its stages: the deduplicated rows and
+the group-filled rows. Statistic tables are one row per sector, joined without
+a hint, or a single row, broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingspark.functions import fixed_values as fv
+from ratingspark.operators.quantiles import wide_quantiles
+from ratingspark.session import materialize
 
-FEATURES = ["roa", "roe", "roce", "ebit_margin", "current_ratio", "debt_to_assets", "debt_to_equity",
-            "net_debt_to_ebitda", "asset_turnover", "wcta", "reta", "market_to_book",
-            "revenue_growth_yoy", "log_revenue", "market_cap"]
+FEATURES = list(fv.FEATURE_NAMES.values())
 _DISPLAY = {v: k for k, v in fv.FEATURE_NAMES.items()}
 SECTOR_DEPENDENT = [fv.FEATURE_NAMES[n] for n in fv.SECTOR_DEPENDENT]
 DYNAMIC_MEDIAN = [fv.FEATURE_NAMES[n] for n in fv.DYNAMIC_MEDIAN_FEATURES]
@@ -29,13 +25,6 @@ BANK_LEVERAGE = [fv.FEATURE_NAMES[n] for n in fv.BANKING_LEVERAGE]
 ALL_FEATURES = [fv.FEATURE_NAMES[n] for n in fv.UNIVERSAL_FEATURES + fv.SECTOR_DEPENDENT]
 
 
-def quantile(c: Column, p, approx: bool = False) -> Column:
-    """Linear-interpolated quantile (pandas / DuckDB quantile_cont)."""
-    if approx:
-        return F.percentile_approx(c, p, 100000)
-    return F.percentile(c, p)
-
-
 def reference_median(sector: Column, feat: str, default_sector: str | None = fv.REFERENCE_DEFAULT_SECTOR,
                      table: dict | None = None) -> Column:
     """Reference median of ``feat`` for a sector; sectors not in the table use
@@ -61,57 +50,52 @@ def dedup_source_priority(df: DataFrame, key: str = "ticker", tiebreak: str | No
     """Keep one row per key, preferring ``data_source == preferred``; further
     ties by ``tiebreak`` ascending (the original keeps first-in-file)."""
     pri = F.when(F.col("data_source") == preferred, 0).otherwise(1)
-    order = [pri] + ([F.col(tiebreak)] if tiebreak else [])
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    order = F.struct(pri.alias("p"), *([F.col(tiebreak).alias("t")] if tiebreak else []))
+    # a struct minimum combines map-side: a hot key is one row per task before the shuffle
+    best = df.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("row"))
+    return best.select("row.*")
 
 
 # ---------------------------------------------------------------- A5 / A6
-def sector_stats(df: DataFrame, approx: bool = False) -> DataFrame:
-    """Fitted per-sector statistics in one pass (null sectors excluded):
-    A5 mean / sample std of the sector-dependent features (null -> 0) and
-    A6 dynamic medians (median when >= 5 non-null values, else the reference
-    median of the sector, Manufacturing for unknown sectors)."""
+def sector_stats(df: DataFrame) -> DataFrame:
+    """Fitted per-sector statistics (null sectors excluded): A5 mean / sample
+    std of the sector-dependent features (null -> 0) and A6 dynamic medians
+    (median when >= 5 non-null values, else the reference median of the sector,
+    Manufacturing for unknown sectors)."""
     aggs = []
     for f in SECTOR_DEPENDENT:
         aggs += [F.coalesce(F.avg(f), F.lit(0.0)).alias(f"{f}__mean"),
                  F.coalesce(F.stddev_samp(f), F.lit(0.0)).alias(f"{f}__std")]
-    for f in DYNAMIC_MEDIAN:
-        aggs += [quantile(F.col(f), 0.5, approx).alias(f"{f}__med_raw"), F.count(f).alias(f"{f}__n")]
     st = df.filter(F.col("sector").isNotNull()).groupBy("sector").agg(*aggs)
+    raw = wide_quantiles(df, {f"{f}__med_raw": (f, 0.5) for f in DYNAMIC_MEDIAN}, "sector",
+                         {f"{f}__n": f for f in DYNAMIC_MEDIAN})
     med = [F.when(F.col(f"{f}__n") >= fv.MIN_SAMPLES_FOR_DYNAMIC_MEDIAN, F.col(f"{f}__med_raw"))
            .otherwise(reference_median(F.col("sector"), f)).alias(f"{f}__median") for f in DYNAMIC_MEDIAN]
     keep = [c for f in SECTOR_DEPENDENT for c in (f"{f}__mean", f"{f}__std")]
-    return st.select("sector", *keep, *med)
+    return st.join(raw, "sector", "left").select("sector", *keep, *med)
 
 
 # ---------------------------------------------------------------- A7 / A8
-def global_quartiles(df: DataFrame, feats: list[str] = FEATURES, approx: bool = False) -> DataFrame:
+def global_quartiles(df: DataFrame, feats: list[str] = FEATURES) -> DataFrame:
     """One row: ``<f>__q1``, ``<f>__q3`` for every feature (nulls skipped)."""
-    aggs = []
-    for f in feats:
-        aggs += [quantile(F.col(f), 0.25, approx).alias(f"{f}__q1"),
-                 quantile(F.col(f), 0.75, approx).alias(f"{f}__q3")]
-    return df.agg(*aggs)
+    return wide_quantiles(df, {f"{f}__q{k}": (f, p) for f in feats for k, p in ((1, 0.25), (3, 0.75))})
 
 
-def global_medians(df: DataFrame, feats: list[str] = FEATURES, approx: bool = False) -> DataFrame:
-    return df.agg(*[quantile(F.col(f), 0.5, approx).alias(f"{f}__gmed") for f in feats])
+def global_medians(df: DataFrame, feats: list[str] = FEATURES) -> DataFrame:
+    return wide_quantiles(df, {f"{f}__gmed": (f, 0.5) for f in feats})
 
 
 # ---------------------------------------------------------------- W5 / I3
-def group_fill(df: DataFrame, feats: list[str] = ALL_FEATURES, approx: bool = False) -> DataFrame:
+def group_fill(df: DataFrame, feats: list[str] = ALL_FEATURES) -> DataFrame:
     """Null -> median of its sector; still null -> global median of the
     filled column; still null (column wholly null) -> Manufacturing reference
     median or 0. Rows with a null sector keep their own values (the original
     drops them in ``groupby.transform``; we do not)."""
-    med = (df.filter(F.col("sector").isNotNull()).groupBy("sector")
-           .agg(*[quantile(F.col(f), 0.5, approx).alias(f"{f}__smed") for f in feats]))
-    # bounded: one row per normalised sector
-    filled = df.join(F.broadcast(med), "sector", "left").select(
+    med = wide_quantiles(df, {f"{f}__smed": (f, 0.5) for f in feats}, "sector")
+    filled = materialize(df.join(med, "sector", "left").select(
         *[c for c in df.columns if c not in feats],
-        *[F.coalesce(F.col(f), F.col(f"{f}__smed")).alias(f) for f in feats])
-    gm = global_medians(filled, feats, approx)
+        *[F.coalesce(F.col(f), F.col(f"{f}__smed")).alias(f) for f in feats]), "filled")
+    gm = global_medians(filled, feats)
     out = filled.crossJoin(F.broadcast(gm))  # one-row table
     fills = []
     for f in feats:
@@ -121,7 +105,7 @@ def group_fill(df: DataFrame, feats: list[str] = ALL_FEATURES, approx: bool = Fa
 
 
 # ---------------------------------------------------------------- I1
-def impute_reference(df: DataFrame, feats: list[str] = FEATURES, approx: bool = False) -> DataFrame:
+def impute_reference(df: DataFrame, feats: list[str] = FEATURES) -> DataFrame:
     """Merge-time imputation: null -> the sector's reference median (fixed
     table) -> global median of the column -> Manufacturing reference median
     (or 0)."""
@@ -129,7 +113,7 @@ def impute_reference(df: DataFrame, feats: list[str] = FEATURES, approx: bool =
     step1 = df.select(*[c for c in df.columns if c not in feats],
                       *[F.coalesce(F.col(f), reference_median(F.col("sector"), f, None, table)).alias(f)
                         for f in feats])
-    out = step1.crossJoin(F.broadcast(global_medians(step1, feats, approx)))  # one-row table
+    out = step1.crossJoin(F.broadcast(global_medians(step1, feats)))  # one-row table
     fills = []
     for f in feats:
         dflt = table[fv.IMPUTE_DEFAULT_SECTOR].get(_DISPLAY[f], 0.0)
@@ -138,10 +122,10 @@ def impute_reference(df: DataFrame, feats: list[str] = FEATURES, approx: bool =
 
 
 # ---------------------------------------------------------------- X4
-def iqr_clip(df: DataFrame, feats: list[str] = ALL_FEATURES, approx: bool = False) -> DataFrame:
+def iqr_clip(df: DataFrame, feats: list[str] = ALL_FEATURES) -> DataFrame:
     """Clip each feature to [Q1 - 1.5 IQR, Q3 + 1.5 IQR] with quartiles over
     all rows; the bank leverage columns are left alone on Banking rows."""
-    qs = global_quartiles(df, feats, approx)
+    qs = global_quartiles(df, feats)
     out = df.crossJoin(F.broadcast(qs))  # one-row table
     cols = []
     for f in feats:
@@ -169,7 +153,7 @@ def clip_counts(df: DataFrame, bounds: dict[str, tuple[float | None, float | Non
 
 
 # ---------------------------------------------------------------- I4
-def clean(df: DataFrame, key: str = "ticker", tiebreak: str | None = None, approx: bool = False) -> DataFrame:
+def clean(df: DataFrame, key: str = "ticker", tiebreak: str | None = None) -> DataFrame:
     """Dedup (A2) -> group fill (I3) -> IQR clip."""
-    d = dedup_source_priority(df, key, tiebreak) if key in df.columns else df
-    return iqr_clip(group_fill(d, approx=approx), approx=approx)
+    d = materialize(dedup_source_priority(df, key, tiebreak), "dedup") if key in df.columns else df
+    return iqr_clip(materialize(group_fill(d), "filled"))

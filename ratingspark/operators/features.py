@@ -2,10 +2,9 @@
 fit/transform pair over them (N14), domain and class weights (N15-N17) and
 standard scaling (N18).
 
-``fit`` computes the per-sector statistics once (one ``groupBy`` for every
-feature, ``ratingspark.operators.clean.sector_stats``); ``transform`` joins
-that bounded table (one row per normalised sector) onto the rows by broadcast
-and emits every engineered column in ONE projection, so the plan stays a
+``fit`` writes the per-sector statistics once
+(``ratingspark.operators.clean.sector_stats``); ``transform`` joins
+that table (one row per normalised sector) onto the rows and emits every engineered column in ONE projection, so the plan stays a
 single codegen stage however many columns are produced.
 """
 
@@ -15,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratingspark.functions import fixed_values as fv
-from ratingspark.operators.clean import (DYNAMIC_MEDIAN, SECTOR_DEPENDENT, quantile, reference_median,
-                                         sector_stats)
+from ratingspark.operators.clean import DYNAMIC_MEDIAN, SECTOR_DEPENDENT, reference_median, sector_stats
+from ratingspark.operators.quantiles import wide_quantiles
+from ratingspark.session import materialize
 
 F_ = fv.FEATURE_NAMES
 SECTOR_RATIO = [F_[n] for n in fv.SECTOR_RATIO_FEATURES]
@@ -48,21 +48,21 @@ class SectorFeatureModel:
         self.sectors = sectors
 
     @staticmethod
-    def fit(df: DataFrame, approx: bool = False) -> "SectorFeatureModel":
-        stats = sector_stats(df, approx)
+    def fit(df: DataFrame) -> "SectorFeatureModel":
+        stats = materialize(sector_stats(df), "sector-stats")
         # dimension-sized: the normalised sector vocabulary
         sectors = sorted(r[0] for r in df.select("sector").where("sector IS NOT NULL").distinct().collect())
         return SectorFeatureModel(stats, sectors)
 
-    def transform(self, df: DataFrame, approx: bool = False) -> DataFrame:
+    def transform(self, df: DataFrame) -> DataFrame:
         # batch fallbacks: mean / std / median of the batch being transformed
         bagg = []
         for f in SECTOR_DEPENDENT:
             bagg += [F.avg(f).alias(f"{f}__bmean"), F.stddev_samp(f).alias(f"{f}__bstd")]
-        bagg += [quantile(F.col(f), 0.5, approx).alias(f"{f}__bmed") for f in SECTOR_RATIO]
-        batch = df.agg(*bagg)
-        st = F.broadcast(self.stats.withColumn("_seen", F.lit(True)))  # <= 16 rows
-        x = df.join(st, "sector", "left").crossJoin(F.broadcast(batch))  # 1-row table
+        medians = wide_quantiles(df, {f"{f}__bmed": (f, 0.5) for f in SECTOR_RATIO})
+        batch = materialize(df.agg(*bagg).crossJoin(medians), "batch")  # two one-row tables
+        st = self.stats.withColumn("_seen", F.lit(True))
+        x = df.join(st, "sector", "left").crossJoin(F.broadcast(batch))  # one-row table
         sector = F.col("sector")
         seen = F.coalesce(F.col("_seen"), F.lit(False))
         out = [F.col(c) for c in df.columns]
@@ -158,9 +158,9 @@ def score_columns() -> list[Column]:
     return cols
 
 
-def engineer(df: DataFrame, approx: bool = False) -> DataFrame:
+def engineer(df: DataFrame) -> DataFrame:
     """N14 fit_transform on one batch."""
-    return SectorFeatureModel.fit(df, approx).transform(df, approx)
+    return SectorFeatureModel.fit(df).transform(df)
 
 
 # ---------------------------------------------------------------- N1

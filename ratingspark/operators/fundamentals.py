@@ -17,27 +17,11 @@ from pyspark.sql import functions as F
 from ratingspark.functions import fixed_values as fv
 from ratingspark.functions.scalars import normalize_sector, safe_div, zero_div_null
 from ratingspark.operators import items as it
+from ratingspark.session import materialize
 
 FEATURE_COLS = list(fv.FEATURE_NAMES.values())
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Stage boundary: write ``df`` once as Parquet under the shared checkpoint
-    folder (``spark.checkpoint.dir``) and continue from the written table.
-
-    This cuts the lineage (a lost executor re-reads files instead of re-running
-    every upstream join and aggregate), lets each later statistic scan a
-    columnar table with pruning instead of recomputing the chain, and keeps
-    downstream plans small. Each call writes a fresh folder (no overwrite, no
-    delete), so concurrent jobs never clash."""
-    import uuid
-
-    from ratingspark.session import scratch_path
-    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _truthy(c: Column) -> Column:
     return c.isNotNull() & (c != 0)
 

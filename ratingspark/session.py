@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
 
@@ -40,10 +41,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the platform (a shared filesystem); we only
-    fill it in when unset, which happens in local tests."""
+    On a cluster the platform sets it (a shared file system) and its absence
+    is an error; only a session on a local master gets a temporary folder."""
     d = spark.conf.get(_CKPT_KEY, None)
     if not d:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local["):
+            raise ValueError(f"{_CKPT_KEY} must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="ratingspark-ckpt-")
         spark.conf.set(_CKPT_KEY, d)
     try:
@@ -57,3 +60,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Stage boundary: write ``df`` once as Parquet under the shared checkpoint
+    folder (``spark.checkpoint.dir``) and continue from the written table.
+
+    This cuts the lineage (a lost executor re-reads files instead of re-running
+    every upstream join and aggregate), lets each later statistic scan a
+    columnar table with pruning instead of recomputing the chain, and keeps
+    downstream plans small. Each call writes a fresh folder (no overwrite, no
+    delete), so concurrent jobs never clash."""
+    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
