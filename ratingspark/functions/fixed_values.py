@@ -889,3 +889,12 @@ BOOSTED_PARAMS = {"n_rounds": 300, "max_depth": 8, "learning_rate": 0.03,
                   "subsample": 0.8, "colsample": 0.8}
 GB_PARAMS = {"n_rounds": 200, "max_depth": 6, "learning_rate": 0.05}
 ORDINAL_BASE_PARAMS = {"n_rounds": 200, "max_depth": 4, "learning_rate": 0.05, "subsample": 0.8}
+
+# ---------------------------------------------------------------- header aliases of loaded files
+RATED_TICKER_ALIASES = ["ticker", "symbol", "ma", "mã"]
+RATED_GRADE_ALIASES = ["credit_rating", "rating", "xephangtindung"]
+LISTING_TICKER_ALIASES = ["symbol", "ticker", "ma", "mã"]
+LISTING_SECTOR_ALIASES = ["industry_name", "ten_nganh", "nganh", "icb_name", "industry"]
+EXCHANGE_ALIASES = ["exchange", "Exchange"]
+COMPANY_NAME_ALIASES = ["short_name", "shortName", "company_name", "companyName", "organ_name", "organName", "symbol"]
+BLANK_SECTORS = ["", "nan", "None"]

@@ -18,6 +18,8 @@ from ratingspark.plans.registry import register
 from ratingspark.plans.sql_bindings import base_ctes, q
 from ratingspark.plans.sql_firms import clip, fold_sql, ordinal_sql
 from ratingspark.sources import bindings as b
+from ratingspark.sources import firms as fr
+from ratingspark.sources import ingest
 
 W = qm.W
 FN = fv.FEATURE_NAMES
@@ -30,10 +32,35 @@ def WS(*extra: str) -> str:
 @register("s16_item_catalogue", sql=WS() + """
 SELECT statement, item_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(value) AS BIGINT) AS n_values,
        CAST(count(DISTINCT ticker) AS BIGINT) AS n_tickers, CAST(count(DISTINCT period) AS BIGINT) AS n_periods,
-       max(CASE WHEN value IS NOT NULL THEN period END) AS newest_period
+       max(CASE WHEN value IS NOT NULL THEN period END) AS newest_period,
+       round(max(CASE WHEN value IS NOT NULL THEN {'p': period, 't': ticker, 'v': value} END).v, 6) + 0.0 AS newest_value
 FROM statement_item GROUP BY statement, item_id""")
 def s16_item_catalogue(spark, sf):
-    return mp.item_catalogue(b.statement_item(spark, sf))
+    return ingest.item_catalogue(b.statement_item(spark, sf))
+
+
+@register("s16_item_search", sql=WS() + """
+SELECT statement, item_id, CAST(count(value) AS BIGINT) AS n_values FROM statement_item
+WHERE lower(item_id) LIKE '%revenue%' OR lower(item_id) LIKE '%asset%' GROUP BY statement, item_id""")
+def s16_item_search(spark, sf):
+    """Catalogue entries by keyword."""
+    found = ingest.search_items(ingest.item_catalogue(b.statement_item(spark, sf)), ["Revenue", "asset"])
+    return found.select("statement", "item_id", "n_values")
+
+
+@register("s6_directory_scan", sql=W() + "\nSELECT " + qm.rsel(qm.META + qm.FEATURES, set(qm.FEATURES))
+          + ", 1 AS n_files FROM feats")
+def s6_directory_scan(spark, sf):
+    """Feature rows landed as a directory of small CSV files, read back as one
+    table; each row comes from exactly one of the files."""
+    import uuid
+
+    from ratingspark.session import scratch_path
+    f = qm.feats(spark, sf)
+    path = scratch_path(spark, f"export/cache-{uuid.uuid4().hex}")
+    ingest.write_stage(f.repartition(20, "ticker"), path, fmt="csv")
+    rows = ingest.read_directory(spark, path, f.schema)
+    return rows.withColumn("n_files", (F.length("source_file") > 0).cast("int")).drop("source_file")
 
 
 @register("c6_required_statements", sql=WS() + """
@@ -67,7 +94,9 @@ FROM rating_event WHERE upper(trim(ticker)) <> '' GROUP BY upper(trim(ticker))""
 def s7_a4_rated_list(spark, sf):
     """Rated list: normalised ticker, folded grade, last row (by input
     position) wins."""
-    return mp.rated_list(b.rating_event(spark, sf))
+    events = b.rating_event(spark, sf)
+    return ingest.rated_list(events.select(F.col("ticker").alias("Symbol"), F.col("raw_rating").alias("Rating"),
+                                           "event_id"), "event_id")
 
 
 @register("a3_dedup_ticker_grade", sql=W() + f"""
@@ -189,7 +218,6 @@ def s1_s2_csv_roundtrip(spark, sf):
     import uuid
 
     from ratingspark.session import scratch_path
-    from ratingspark.sources import ingest
     f = qm.feats(spark, sf)
     path = scratch_path(spark, f"export/features-{uuid.uuid4().hex}")
     ingest.write_stage(f, path, fmt="csv")
@@ -201,11 +229,10 @@ SELECT ticker, CAST(event_id AS BIGINT) AS event_id, CAST(rated_on AS VARCHAR) A
 def s8_rating_history(spark, sf):
     """Rating history with day-first date text: parse (bad text -> null) and
     keep the newest observation per ticker."""
-    from ratingspark.sources import ingest
     ev = b.rating_event(spark, sf).select("ticker", "event_id",
                                           F.date_format("rated_on", "dd/MM/yyyy").alias("date_text"))
     parsed = ev.withColumn("rated_on", ingest.parse_day_first(F.col("date_text")))
-    latest = ingest.latest_per_key(parsed, "ticker", "rated_on", "event_id", ["event_id", "rated_on"])
+    latest = fr.latest_per_key(parsed, "ticker", F.col("rated_on"), F.col("event_id"))
     return latest.select("ticker", "event_id", F.col("rated_on").cast("string").alias("rated_on"))
 
 
@@ -214,7 +241,6 @@ SELECT ticker, exchange, company_name FROM firm WHERE upper(exchange) = 'ASIA'""
 def s10_s11_profile_by_exchange(spark, sf):
     """Company profile (first non-blank name / exchange) and the universe of
     one exchange, matched case-insensitively."""
-    from ratingspark.sources import ingest
     prof = ingest.company_profile(b.firm(spark, sf))
     return ingest.universe_by_exchange(prof, "asia")
 
@@ -224,7 +250,6 @@ SELECT DISTINCT upper(ticker) AS ticker FROM firm""")
 def s12_ticker_list(spark, sf):
     """Ticker lists typed as text (``" f1 ,, F1"``) parsed to upper-cased,
     trimmed, non-empty tickers."""
-    from ratingspark.sources import ingest
     txt = b.firm(spark, sf).select(F.concat(F.lit(" "), F.lower("ticker"), F.lit(" ,, "), F.col("ticker")).alias("t"))
     return txt.select(F.explode(ingest.parse_ticker_list(F.col("t"))).alias("ticker")).distinct()
 
@@ -295,7 +320,6 @@ WHERE trim(sector_raw) IS NOT NULL AND trim(sector_raw) NOT IN ('', 'nan', 'None
 def s9_sector_listing(spark, sf):
     """Listing file with aliased columns (symbol / industry name): blank and
     'nan' sectors dropped, ticker upper-cased, last row wins."""
-    from ratingspark.sources import ingest
     listing = b.firm(spark, sf).select(F.col("ticker").alias("symbol"), F.col("sector_raw").alias("industry_name"),
                                        "firm_id")
     return ingest.sector_listing(listing, "firm_id")
@@ -306,7 +330,60 @@ SELECT ticker, round(roa, 6) + 0.0 AS ratios_roa, round(roe, 6) + 0.0 AS ratios_
        round(debt_to_assets, 6) + 0.0 AS ratios_leverage_debt_to_assets FROM feats""")
 def s15_flatten_columns(spark, sf):
     """Nested (multi-level) column names flattened by joining the path."""
-    from ratingspark.sources import ingest
     f = qm.feats(spark, sf)
     nested = f.select("ticker", F.struct("roa", "roe", F.struct("debt_to_assets").alias("leverage")).alias("ratios"))
     return ingest.flatten_columns(nested)
+
+
+# ---------------------------------------------------------------- P3, P4, X3, X8, G1 (foreign ratio file)
+#: Sector names of the foreign file for the binding's sectors.
+_FOREIGN_SECTOR = {"Manufacturing": "Capital Goods", "RealEstate": "Miscellaneous", "Transportation": "Transportation",
+                   "Retail": "Consumer Services"}
+_FOREIGN_COLUMNS = {"returnOnAssets": "roa", "returnOnEquity": "roe", "returnOnCapitalEmployed": "roce",
+                    "currentRatio": "current_ratio", "debtRatio": "debt_to_assets", "debtEquityRatio": "debt_to_equity",
+                    "assetTurnover": "asset_turnover"}
+
+
+def foreign_file(spark, sf):
+    """The foreign firms as a ratio file: one row per rating, camel-case
+    ratios, no operating margin, an equity multiplier and cash per share."""
+    f = qm.feats(spark, sf).where("data_source = 'kaggle'")
+    e = b.rating_event(spark, sf).select("ticker", "event_id", "raw_rating", "rated_on")
+    sector = F.coalesce(F.try_element_at(sc._map(_FOREIGN_SECTOR), F.col("sector")), F.lit("unlisted"))
+    return e.join(f, "ticker").select(
+        F.col("raw_rating").alias("Rating"), F.col("ticker").alias("Symbol"), sector.alias("Sector"),
+        F.col("rated_on").alias("Date"), "event_id",
+        *[F.col(c).alias(name) for name, c in _FOREIGN_COLUMNS.items()],
+        F.col("ebit_margin").alias("ebitPerRevenue"), (F.col("debt_to_equity") + 1).alias("companyEquityMultiplier"),
+        (F.col("log_revenue") * 100).alias("cashPerShare"))
+
+
+def _p4_sql() -> str:
+    bound = {k: clip(k2, *fv.FOREIGN_CLIP_BOUNDS[k]) for k, k2 in (
+        ("ROA", "roa"), ("ROE", "roe"), ("ROCE", "roce"), ("Current_Ratio", "current_ratio"),
+        ("Debt/Assets", "debt_to_assets"), ("Debt/Equity", "debt_to_equity"), ("Asset_Turnover", "asset_turnover"))}
+    sector = "CASE " + " ".join(f"WHEN f.sector = {q(k)} THEN {q(fv.FOREIGN_SECTOR_MAP[v])}"
+                                for k, v in _FOREIGN_SECTOR.items()) + " ELSE 'Other' END"
+    da, cr, roe = bound["Debt/Assets"], bound["Current_Ratio"], bound["ROE"]
+    low_cr = f"(CASE WHEN {cr} IS NOT NULL THEN greatest({cr}, 0.1) END)"
+    margin = "(CASE WHEN ebit_margin IS NOT NULL THEN greatest(ebit_margin, 0.01) END)"
+    cash = "(CASE WHEN log_revenue IS NOT NULL THEN greatest(log_revenue * 100, 0.01) END)"
+    cols = [*[(k, v) for k, v in bound.items()], ("EBIT_Margin", "ebit_margin"),
+            ("Net_Debt/EBITDA", clip(f"{da} * 3 / {margin}", -5.0, 30.0)),
+            ("WCTA", clip(f"({low_cr} - 1) / {low_cr} * 0.3", -0.5, 0.8)), ("RETA", clip(f"{roe} * 0.6", -1.0, 1.0)),
+            ("Market_to_Book", clip("debt_to_equity + 1 - 1", 0.0, 20.0)),
+            ("Revenue_Growth_YoY", _growth_sql().replace("sector =", f"{sector} =")),
+            ("Log_Revenue", clip(f"ln(1 + {cash})", 2.0, 14.0)), ("Market_Cap", "1e9")]
+    return W() + f"""
+SELECT f.ticker AS "Ticker", {fold_sql('l.raw_rating')} AS "Credit_Rating", {sector} AS "Sector", """ + ", ".join(
+        f'round(CAST({v} AS DOUBLE), 6) + 0.0 AS "{k}"' for k, v in cols) + f""", 'kaggle' AS data_source
+FROM feats f JOIN (SELECT ticker, max({{'d': rated_on, 'e': event_id, 'r': raw_rating}}).r AS raw_rating
+                   FROM rating_event GROUP BY ticker) l ON l.ticker = f.ticker
+WHERE f.data_source = 'kaggle' AND {fold_sql('l.raw_rating')} IS NOT NULL"""
+
+
+@register("p4_foreign_mapping", sql=_p4_sql())
+def p4_foreign_mapping(spark, sf):
+    """The full mapping of a foreign ratio file."""
+    out = mp.foreign_mapping(foreign_file(spark, sf), "event_id")
+    return out.select("Ticker", "Credit_Rating", "Sector", *[F.col(f"`{_DISPLAY[c]}`") for c in qm.FEATURES], "data_source")

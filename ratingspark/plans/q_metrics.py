@@ -232,11 +232,12 @@ def j1_ratings_join_features(spark, sf):
 SELECT ticker, sector_raw, {normalize_sector_sql('sector_raw')} AS sector_normalized FROM firm""")
 def x9_j3_sector_lookup(spark, sf):
     """Sector text normalised once per DISTINCT text (small), then joined back
-    to every firm by broadcast; null / blank -> ``Other``."""
+    to every firm; null / blank -> ``Other``. The text is free, so the join's side
+    is left to be chosen by its measured size."""
     f = b.firm(spark, sf).select("ticker", "sector_raw")
     key = F.coalesce(F.col("sector_raw"), F.lit(""))
     d = f.select(key.alias("_k")).distinct().select("_k", normalize_sector(F.col("_k")).alias("sector_normalized"))
-    out = f.withColumn("_k", key).join(F.broadcast(d), "_k", "left")  # one row per distinct sector text
+    out = f.withColumn("_k", key).join(d, "_k", "left")
     return out.select("ticker", "sector_raw", F.coalesce("sector_normalized", F.lit(fv.SECTOR_OTHER)).alias(
         "sector_normalized"))
 
