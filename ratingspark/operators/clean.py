@@ -85,6 +85,20 @@ def global_medians(df: DataFrame, feats: list[str] = FEATURES) -> DataFrame:
     return wide_quantiles(df, {f"{f}__gmed": (f, 0.5) for f in feats})
 
 
+def _default(f: str) -> Column:
+    return F.lit(float(fv.SECTOR_MEDIANS_REFERENCE[fv.REFERENCE_DEFAULT_SECTOR].get(_DISPLAY[f], 0.0)))
+
+
+def _clipped(f: str, v: Column) -> Column:
+    """X4 of one value, with the quartiles beside it in the row."""
+    q1, q3 = F.col(f"{f}__q1"), F.col(f"{f}__q3")
+    lo, hi = q1 - (q3 - q1) * 1.5, q3 + (q3 - q1) * 1.5
+    clipped = F.when(v.isNotNull() & lo.isNotNull(), F.greatest(F.least(v, hi), lo)).otherwise(v)
+    if f in BANK_LEVERAGE:
+        clipped = F.when(F.coalesce(F.col("sector") == "Banking", F.lit(False)), v).otherwise(clipped)
+    return clipped
+
+
 # ---------------------------------------------------------------- W5 / I3
 def group_fill(df: DataFrame, feats: list[str] = ALL_FEATURES) -> DataFrame:
     """Null -> median of its sector; still null -> global median of the
@@ -97,10 +111,7 @@ def group_fill(df: DataFrame, feats: list[str] = ALL_FEATURES) -> DataFrame:
         *[F.coalesce(F.col(f), F.col(f"{f}__smed")).alias(f) for f in feats]), "filled")
     gm = global_medians(filled, feats)
     out = filled.crossJoin(F.broadcast(gm))  # one-row table
-    fills = []
-    for f in feats:
-        dflt = fv.SECTOR_MEDIANS_REFERENCE[fv.REFERENCE_DEFAULT_SECTOR].get(_DISPLAY[f], 0.0)
-        fills.append(F.coalesce(F.col(f), F.col(f"{f}__gmed"), F.lit(float(dflt))).alias(f))
+    fills = [F.coalesce(F.col(f), F.col(f"{f}__gmed"), _default(f)).alias(f) for f in feats]
     return out.select(*[c for c in df.columns if c not in feats], *fills).select(*df.columns)
 
 
@@ -127,15 +138,7 @@ def iqr_clip(df: DataFrame, feats: list[str] = ALL_FEATURES) -> DataFrame:
     all rows; the bank leverage columns are left alone on Banking rows."""
     qs = global_quartiles(df, feats)
     out = df.crossJoin(F.broadcast(qs))  # one-row table
-    cols = []
-    for f in feats:
-        q1, q3 = F.col(f"{f}__q1"), F.col(f"{f}__q3")
-        lo, hi = q1 - (q3 - q1) * 1.5, q3 + (q3 - q1) * 1.5
-        v = F.col(f)
-        clipped = F.when(v.isNotNull() & lo.isNotNull(), F.greatest(F.least(v, hi), lo)).otherwise(v)
-        if f in BANK_LEVERAGE:
-            clipped = F.when(F.coalesce(F.col("sector") == "Banking", F.lit(False)), v).otherwise(clipped)
-        cols.append(clipped.alias(f))
+    cols = [_clipped(f, F.col(f)).alias(f) for f in feats]
     return out.select(*[c for c in df.columns if c not in feats], *cols).select(*df.columns)
 
 
@@ -153,7 +156,39 @@ def clip_counts(df: DataFrame, bounds: dict[str, tuple[float | None, float | Non
 
 
 # ---------------------------------------------------------------- I4
+class CleanModel:
+    """Fitted state of the clean step: per-sector medians, and one row of
+    global medians and quartiles, all of the rows it was fitted on. A row's
+    result depends on nothing else, so it is the same in a batch of any size."""
+
+    def __init__(self, medians: DataFrame, overall: DataFrame):
+        self.medians, self.overall = medians, overall
+
+    @staticmethod
+    def fit(df: DataFrame) -> "CleanModel":
+        """``df`` has one row per key and is read several times: pass a
+        written table."""
+        medians = materialize(wide_quantiles(df, {f"{f}__smed": (f, 0.5) for f in ALL_FEATURES}, "sector"), "medians")
+        half = materialize(df.join(medians, "sector", "left").select(
+            *[F.coalesce(F.col(f), F.col(f"{f}__smed")).alias(f) for f in ALL_FEATURES]), "half-filled")
+        middle = materialize(global_medians(half, ALL_FEATURES), "global-medians")
+        full = materialize(half.crossJoin(F.broadcast(middle)).select(  # one-row table
+            *[F.coalesce(F.col(f), F.col(f"{f}__gmed"), _default(f)).alias(f) for f in ALL_FEATURES]), "filled")
+        return CleanModel(medians, materialize(middle.crossJoin(global_quartiles(full, ALL_FEATURES)), "overall"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Group fill (I3) and IQR clip (X4) with the fitted statistics."""
+        x = df.join(self.medians, "sector", "left").crossJoin(F.broadcast(self.overall))  # one-row table
+        value = {f: F.coalesce(F.col(f), F.col(f"{f}__smed"), F.col(f"{f}__gmed"), _default(f)) for f in ALL_FEATURES}
+        return x.select(*[_clipped(c, value[c]).alias(c) if c in value else F.col(c) for c in df.columns])
+
+
 def clean(df: DataFrame, key: str = "ticker", tiebreak: str | None = None) -> DataFrame:
-    """Dedup (A2) -> group fill (I3) -> IQR clip."""
-    d = materialize(dedup_source_priority(df, key, tiebreak), "dedup") if key in df.columns else df
-    return iqr_clip(materialize(group_fill(d), "filled"))
+    """Dedup (A2), then fill and clip with statistics of the same rows."""
+    return fitted_clean(df, key, tiebreak)[1]
+
+
+def fitted_clean(df: DataFrame, key: str = "ticker", tiebreak: str | None = None) -> tuple[CleanModel, DataFrame]:
+    rows = materialize(dedup_source_priority(df, key, tiebreak), "dedup") if key in df.columns else df
+    model = CleanModel.fit(rows)
+    return model, model.transform(rows)

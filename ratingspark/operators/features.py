@@ -40,29 +40,26 @@ def flag(cond: Column) -> Column:
 
 
 class SectorFeatureModel:
-    """Fitted state of N14: the per-sector stat table and the sector
-    vocabulary for the dummies (at most 16 names, collected once)."""
+    """Fitted state of N14: the per-sector statistics, one row of overall ones
+    for sectors not among them, and the sector vocabulary of the dummies (the
+    normalised sectors, at most 16 names). A row's features depend on nothing
+    else, so they are the same in a batch of any size."""
 
-    def __init__(self, stats: DataFrame, sectors: list[str]):
-        self.stats = stats
-        self.sectors = sectors
+    def __init__(self, stats: DataFrame, overall: DataFrame, sectors: list[str]):
+        self.stats, self.overall, self.sectors = stats, overall, sectors
 
     @staticmethod
     def fit(df: DataFrame) -> "SectorFeatureModel":
         stats = materialize(sector_stats(df), "sector-stats")
-        # dimension-sized: the normalised sector vocabulary
-        sectors = sorted(r[0] for r in df.select("sector").where("sector IS NOT NULL").distinct().collect())
-        return SectorFeatureModel(stats, sectors)
+        aggs = [a for f in SECTOR_DEPENDENT for a in (F.avg(f).alias(f"{f}__bmean"), F.stddev_samp(f).alias(f"{f}__bstd"))]
+        medians = wide_quantiles(df, {f"{f}__bmed": (f, 0.5) for f in SECTOR_RATIO})
+        overall = materialize(df.agg(*aggs).crossJoin(medians), "overall")  # two one-row tables
+        # the statistics have one row per sector
+        return SectorFeatureModel(stats, overall, sorted(r["sector"] for r in stats.select("sector").collect()))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        # batch fallbacks: mean / std / median of the batch being transformed
-        bagg = []
-        for f in SECTOR_DEPENDENT:
-            bagg += [F.avg(f).alias(f"{f}__bmean"), F.stddev_samp(f).alias(f"{f}__bstd")]
-        medians = wide_quantiles(df, {f"{f}__bmed": (f, 0.5) for f in SECTOR_RATIO})
-        batch = materialize(df.agg(*bagg).crossJoin(medians), "batch")  # two one-row tables
         st = self.stats.withColumn("_seen", F.lit(True))
-        x = df.join(st, "sector", "left").crossJoin(F.broadcast(batch))  # one-row table
+        x = df.join(st, "sector", "left").crossJoin(F.broadcast(self.overall))  # one-row table
         sector = F.col("sector")
         seen = F.coalesce(F.col("_seen"), F.lit(False))
         out = [F.col(c) for c in df.columns]

@@ -257,6 +257,16 @@ def a2_dedup_source_priority(spark, sf):
     return cl.dedup_source_priority(train, tiebreak="copy_no").select(*TRAIN_COLS)
 
 
+@register("i4_fitted_clean", sql=W(MERGE, CLEAN, sm.fitted_clean_sql("train_clean", "feats", "clean_all", META + FEATURES)) +
+          f"\nSELECT {rsel(META + FEATURES, set(FEATURES))} FROM clean_all")
+def i4_fitted_clean(spark, sf):
+    """Every firm's feature row cleaned with statistics fitted on the training
+    rows, as the scoring path does."""
+    train, _ = train_test(spark, sf)
+    model, _ = cl.fitted_clean(train, tiebreak="copy_no")
+    return model.transform(feats(spark, sf).select(*META, *FEATURES))
+
+
 @register("i4_clean", sql=W(MERGE, CLEAN) + f"\nSELECT {rsel(TRAIN_COLS, DBL, {'copy_no'})} FROM train_clean")
 def i4_clean(spark, sf):
     return cleaned(spark, sf).select(*TRAIN_COLS)

@@ -129,6 +129,22 @@ def clean_sql(src: str, out: str, cols: list[str]) -> str:
                        iqr_clip_sql(f"{out}_gf", out, cols)])
 
 
+def fitted_clean_sql(fitted: str, src: str, out: str, cols: list[str]) -> str:
+    """I4 of ``src`` with the statistics that ``clean_sql(.., fitted, ..)``
+    computed on its own rows."""
+    parts = {}
+    for f in ALL_FEATURES:
+        d = fv.SECTOR_MEDIANS_REFERENCE[fv.REFERENCE_DEFAULT_SECTOR].get(DISPLAY[f], 0.0)
+        v = f"coalesce(p.{f}, m.{f}__smed, {f}__gmed, {float(d)!r})"
+        lo = f"({f}__q1 - ({f}__q3 - {f}__q1) * 1.5)"
+        hi = f"({f}__q3 + ({f}__q3 - {f}__q1) * 1.5)"
+        e = f"greatest(least({v}, {hi}), {lo})"
+        parts[f] = f"CASE WHEN coalesce(p.sector = 'Banking', FALSE) THEN {v} ELSE {e} END" if f in BANK_LEVERAGE else e
+    chosen = ", ".join(f"{parts[c]} AS {c}" if c in parts else f"p.{c}" for c in cols)
+    return f"""{out} AS (SELECT {chosen} FROM {src} p LEFT JOIN {fitted}_gf_smed m ON p.sector = m.sector
+  CROSS JOIN {fitted}_gf_gm CROSS JOIN {fitted}_q)"""
+
+
 # ---------------------------------------------------------------- features
 def sector_stats_sql(src: str, out: str) -> str:
     aggs = []
