@@ -160,6 +160,17 @@ def engineer(df: DataFrame) -> DataFrame:
     return SectorFeatureModel.fit(df).transform(df)
 
 
+# ---------------------------------------------------------------- W6
+def batch_sector_z(df: DataFrame, feats: list[str]) -> DataFrame:
+    """Adds ``<f>_batch_z``, the distance from the batch's sector mean in its
+    sample deviations: an aggregate that combines map-side and a join, so a
+    sector with most of the rows is not gathered."""
+    stats = df.where("sector is not null").groupBy("sector").agg(*[a for f in feats for a in (
+        F.avg(f).alias(f"{f}__m"), F.stddev_samp(f).alias(f"{f}__s"))])
+    z = [((F.col(f) - F.col(f"{f}__m")) / (F.col(f"{f}__s") + 1e-8)).alias(f"{f}_batch_z") for f in feats]
+    return df.join(stats, "sector", "left").select(*[F.col(c) for c in df.columns], *z)
+
+
 # ---------------------------------------------------------------- N1
 def reference_ratio(df: DataFrame) -> DataFrame:
     """Merge-time ratio to the imputation reference median, clip [0, 10];

@@ -344,12 +344,12 @@ _FOREIGN_COLUMNS = {"returnOnAssets": "roa", "returnOnEquity": "roe", "returnOnC
                     "assetTurnover": "asset_turnover"}
 
 
-def foreign_file(spark, sf):
+def foreign_file(spark, sf, sectors=None, unlisted="unlisted"):
     """The foreign firms as a ratio file: one row per rating, camel-case
     ratios, no operating margin, an equity multiplier and cash per share."""
     f = qm.feats(spark, sf).where("data_source = 'kaggle'")
     e = b.rating_event(spark, sf).select("ticker", "event_id", "raw_rating", "rated_on")
-    sector = F.coalesce(F.try_element_at(sc._map(_FOREIGN_SECTOR), F.col("sector")), F.lit("unlisted"))
+    sector = F.coalesce(F.try_element_at(sc._map(sectors or _FOREIGN_SECTOR), F.col("sector")), F.lit(unlisted))
     return e.join(f, "ticker").select(
         F.col("raw_rating").alias("Rating"), F.col("ticker").alias("Symbol"), sector.alias("Sector"),
         F.col("rated_on").alias("Date"), "event_id",
@@ -387,3 +387,84 @@ def p4_foreign_mapping(spark, sf):
     """The full mapping of a foreign ratio file."""
     out = mp.foreign_mapping(foreign_file(spark, sf), "event_id")
     return out.select("Ticker", "Credit_Rating", "Sector", *[F.col(f"`{_DISPLAY[c]}`") for c in qm.FEATURES], "data_source")
+
+
+_SECOND_SECTOR = {"Manufacturing": "Materials", "RealEstate": "Real Estate", "Transportation": "Transportation",
+                  "Retail": "Consumer Discretionary"}
+_P7_OUT = [*fv.SECTOR_MEDIANS_IMPUTE_B[fv.IMPUTE_DEFAULT_SECTOR], "Market_to_Book", "Revenue_Growth_YoY", "Log_Revenue",
+           "Market_Cap"]
+
+
+def _p7_sql() -> str:
+    sector = "CASE " + " ".join(f"WHEN f.sector = {q(k)} THEN {q(fv.FOREIGN_SECTOR_MAP_B.get(v, v))}"
+                                for k, v in _SECOND_SECTOR.items()) + " ELSE 'Banking' END"
+    safe = "(CASE WHEN {0} IS NOT NULL THEN greatest({0}, {1}) END)"
+    cols = {"ROA": "roa", "ROE": "roe", "ROCE": "roce", "EBIT_Margin": "ebit_margin", "Current_Ratio": "current_ratio",
+            "Debt/Assets": "debt_to_assets", "Debt/Equity": "debt_to_equity", "Asset_Turnover": "asset_turnover",
+            "Market_to_Book": "debt_to_equity + 1", "Revenue_Growth_YoY": "0.08",
+            "Log_Revenue": "ln(1 + abs(log_revenue * 100))", "Market_Cap": "1e9",
+            "WCTA": f"(current_ratio - 1) / {safe.format('current_ratio', 0.1)} * 0.3", "RETA": "roe * 0.5",
+            "Net_Debt/EBITDA": f"debt_to_assets / {safe.format('ebit_margin', 0.01)}"}
+    table, default = fv.SECTOR_MEDIANS_IMPUTE_B, fv.SECTOR_MEDIANS_IMPUTE_B[fv.IMPUTE_DEFAULT_SECTOR]
+    half = {c: v for c, v in cols.items()}
+    for c in default:
+        whens = " ".join(f"WHEN sector = {q(s)} THEN {float(v[c])!r}" for s, v in table.items() if c in v)
+        half[c] = f"coalesce(\"{c}\", CASE {whens} END)"
+    return W() + f""", raw AS (SELECT e.event_id, f.ticker, e.raw_rating, {sector} AS sector, {", ".join(
+        f'CAST({v} AS DOUBLE) AS "{c}"' for c, v in cols.items())}
+  FROM feats f JOIN rating_event e ON e.ticker = f.ticker WHERE f.data_source = 'kaggle'),
+half AS (SELECT event_id, ticker, raw_rating, sector, {", ".join(
+        f'{half[c]} AS "{c}"' if c in default else f'"{c}"' for c in cols)} FROM raw),
+mid AS (SELECT {", ".join(f'quantile_cont("{c}", 0.5) AS "m {c}"' for c in default)} FROM half)
+SELECT CAST(event_id AS BIGINT) AS event_id, ticker AS "Ticker", raw_rating AS "Credit_Rating", sector AS "Sector", {", ".join(
+        (f'round(coalesce("{c}", "m {c}", {float(default[c])!r}), 6) + 0.0 AS "{c}"' if c in default
+         else f'round("{c}", 6) + 0.0 AS "{c}"') for c in _P7_OUT)}
+FROM half CROSS JOIN mid"""
+
+
+@register("p7_g2_i2_second_mapping", sql=_p7_sql())
+def p7_g2_i2_second_mapping(spark, sf):
+    """The second foreign mapper (P7) with its proxies (G2), then its
+    imputation (I2), over the rating rows of the foreign firms."""
+    from ratingspark.session import materialize
+    file = foreign_file(spark, sf, _SECOND_SECTOR, "Banking")
+    out = mp.impute_second(materialize(mp.second_foreign_mapping(file), "second-mapping"))
+    return out.select("event_id", "Ticker", "Credit_Rating", "Sector", *[F.col(f"`{c}`") for c in _P7_OUT])
+
+
+# ---------------------------------------------------------------- W6, C4, X7
+@register("w6_batch_sector_z", sql=W() + """
+SELECT ticker, """ + ", ".join(
+    f"round(CASE WHEN sector IS NOT NULL THEN ({c} - avg({c}) OVER (PARTITION BY sector)) / "
+    f"(stddev_samp({c}) OVER (PARTITION BY sector) + 1e-8) END, 6) + 0.0 AS {c}_batch_z" for c in ("roa", "debt_to_assets"))
+    + " FROM feats")
+def w6_batch_sector_z(spark, sf):
+    """Sector z-scores of a batch without fitted statistics."""
+    return fe.batch_sector_z(qm.feats(spark, sf), ["roa", "debt_to_assets"]).select(
+        "ticker", "roa_batch_z", "debt_to_assets_batch_z")
+
+
+_REQUIRED = [FN[c] for c in fv.REQUIRED_FEATURES]
+
+
+@register("c4_missing_features", sql=W() + """
+SELECT ticker, array_to_string(list_filter([""" + ", ".join(f"CASE WHEN {c} IS NULL THEN {q(c)} END" for c in _REQUIRED)
+          + "], lambda x: x IS NOT NULL), ',') AS missing, CAST(" + " + ".join(
+              f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in _REQUIRED) + """ AS BIGINT) AS n_missing FROM feats""")
+def c4_missing_features(spark, sf):
+    """The required features that each firm lacks, by name, and their number."""
+    absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in _REQUIRED]))
+    return qm.feats(spark, sf).select("ticker", F.array_join(absent, ",").alias("missing"),
+                                      F.size(absent).alias("n_missing"))
+
+
+@register("x7_extended_scale", sql=W() + """
+SELECT raw_rating, CAST(coalesce(list_position(""" + "[" + ", ".join(q(g) for g in fv.RATING_SCALE_EXTENDED)
+          + f"""], raw_rating) - 1, {fv.UNKNOWN_ORDINAL}) AS BIGINT) AS step, CASE raw_rating """
+          + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fv.EXTENDED_TO_STANDARD.items())
+          + """ END AS standard, CAST(count(*) AS BIGINT) AS n FROM rating_event GROUP BY ALL""")
+def x7_extended_scale(spark, sf):
+    """Rating events on the 20-step scale: the step and its standard grade."""
+    ev = b.rating_event(spark, sf).groupBy("raw_rating").agg(F.count("*").alias("n"))
+    return ev.select("raw_rating", sc.grade_ordinal(F.col("raw_rating"), fv.RATING_SCALE_EXTENDED).alias("step"),
+                     F.try_element_at(sc._map(fv.EXTENDED_TO_STANDARD), F.col("raw_rating")).alias("standard"), "n")
