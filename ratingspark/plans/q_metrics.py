@@ -170,10 +170,35 @@ def m1_label_encoding(spark, sf):
     return labelled(spark, sf)
 
 
-@register("m2_rare_class_merge")
+def _m2_sql() -> str:
+    """The merge as a recursive query over one row: the counts of the grades
+    and the grade that each has gone to."""
+    k, least = len(fv.RATING_SCALE), fv.MIN_CLASS_SIZE
+    grades = ", ".join(q(g) for g in fv.RATING_SCALE)
+    return W(qm.MERGE, qm.CLEAN, LBL).replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+sizes AS (SELECT rating_ordinal AS o, count(*) AS n FROM lbl GROUP BY rating_ordinal),
+merging AS (
+  SELECT 0 AS step, list(coalesce(n, 0) ORDER BY g) AS n, list(g ORDER BY g) AS goes
+  FROM range({k}) r(g) LEFT JOIN sizes ON o = g
+  UNION ALL
+  SELECT step + 1, list_transform(range({k}), lambda i: CASE WHEN i = small THEN 0
+      WHEN i = target THEN n[i + 1] + n[small + 1] ELSE n[i + 1] END),
+    list_transform(goes, lambda g: CASE WHEN g = small THEN target ELSE g END)
+  FROM (SELECT *, coalesce(list_min(list_filter(range({k}), lambda i: n[i + 1] >= {least} AND i > small)),
+                           list_max(list_filter(range({k}), lambda i: n[i + 1] >= {least} AND i < small))) AS target
+        FROM (SELECT *, list_min(list_filter(range({k}), lambda i: n[i + 1] > 0 AND n[i + 1] < {least})) AS small
+              FROM merging) a) b
+  WHERE small IS NOT NULL AND target IS NOT NULL),
+merged AS (SELECT goes FROM merging ORDER BY step DESC LIMIT 1),
+placed AS (SELECT o, n, goes[o + 1] AS g FROM sizes, merged)
+SELECT CAST(o AS BIGINT) AS rating_ordinal, [{grades}][o + 1] AS credit_rating,
+       CAST(dense_rank() OVER (ORDER BY g) - 1 AS BIGINT) AS label, [{grades}][g + 1] AS label_grade,
+       CAST(n AS BIGINT) AS n FROM placed"""
+
+
+@register("m2_rare_class_merge", sql=_m2_sql())
 def m2_rare_class_merge(spark, sf):
-    """Class counts before the merge and the merged class each goes to
-    (driver-side sweep over <= 10 counts; no SQL form)."""
+    """Class counts before the merge and the merged class each goes to."""
     df, _ = lb.merge_rare_classes(labelled(spark, sf))
     return df.groupBy("rating_ordinal", "credit_rating", "label", "label_grade").agg(F.count("*").alias("n"))
 
