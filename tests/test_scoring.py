@@ -61,3 +61,16 @@ def test_fitted_clean_uses_training_statistics_only(rows, scorer):
     top = scorer.clean.transform(one).first().roa
     q = scorer.clean.overall.first()
     assert top == pytest.approx(q["roa__q3"] + 1.5 * (q["roa__q3"] - q["roa__q1"]))
+
+
+def test_boosted_fine_tune_refits_the_union(spark, scorer, rows):
+    eng = scorer.features.transform(scorer.clean.transform(rows)).withColumn(
+        "label", F.pmod(F.xxhash64("ticker"), F.lit(2)).cast("int"))
+    data = materialize(md.assemble(eng.select("ticker", "label", "roa", "roe"), ["roa", "roe"]))
+    first, rest = data.where("ticker < 'F2'"), data.where("ticker >= 'F2'")
+    small = {"n_rounds": 1, "max_depth": 2, "learning_rate": 0.1}
+    for estimator in (md.OneVsRestBoosted(weight=None, params=small), md.OrdinalClassifier(weight=None, params=small)):
+        model = pl.fine_tune_boosted(estimator, first, rest, extra_rounds=1)
+        assert model.classes == [0, 1] and all(m.getNumTrees == 2 for m in model.models)
+        assert model.transform(rest).select(F.sum(F.aggregate("probability_array", F.lit(0.0), lambda a, x: a + x)) /
+                                            F.count("*")).first()[0] == pytest.approx(1.0)
