@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 200_000
+BLOCK = 1_000_000
+#: Rows that are encoded together, so that their words share one trie.
+ROWS = 1500
 #: Distinct words whose encodings a task holds at most; beyond, it starts anew.
 HELD_WORDS = 400_000
 
@@ -40,6 +42,18 @@ def _byte_letters() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(hidden)}}
 
 
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of each id of a parsed tokenizer file."""
+    byte_of = _byte_letters()
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [b""] * (max([*spec["model"]["vocab"].values(), *added.values()]) + 1)
+    for token, k in spec["model"]["vocab"].items():
+        out[k] = token.encode("utf-8") if token in added else bytes(map(byte_of.__getitem__, token))
+    for token, k in added.items():
+        out[k] = token.encode("utf-8")
+    return out
+
+
 class Vocabulary:
     """Tables of one tokenizer file, given as its JSON text."""
 
@@ -48,14 +62,9 @@ class Vocabulary:
 
         spec = json.loads(text)
         letters = _byte_letters()
-        self.ids = {bytes(letters[c] for c in token): k for token, k in spec["model"]["vocab"].items()
-                    if all(c in letters for c in token)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for token, k in self.special.items():
-            self.ids.pop(token.encode("utf-8"), None)
-        self.bytes = [b""] * (max([*self.ids.values(), *self.special.values()]) + 1)
-        for token, k in [*self.ids.items(), *((t.encode("utf-8"), k) for t, k in self.special.items())]:
-            self.bytes[k] = token
+        self.bytes = token_bytes(spec)
+        self.ids = {token: k for k, token in enumerate(self.bytes) if k not in self.special.values()}
         self.longest = max(map(len, self.ids))
         self.merge: dict[tuple[int, int], int] = {}
         made: dict[int, tuple[int, int, int]] = {}
@@ -122,14 +131,19 @@ class Vocabulary:
             while keep < most and before[keep] == word[keep]:
                 keep += 1
             del states[keep:], lengths[keep:]
+            start = keep - lengths[-1] if keep else 0
             for end in range(keep + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and (not start or (
-                            apart[pair] if (pair := (states[start - 1], token)) in apart else stay_apart(*pair))):
-                        states.append(token)
-                        lengths.append(end - start)
-                        break
+                # only one token qualifies, so the likeliest goes first: the last one grown by a byte
+                token = ids.get(word[start:end])
+                if token is None or start and not (
+                        apart[pair] if (pair := (states[start - 1], token)) in apart else stay_apart(*pair)):
+                    for start in range(end - 1, max(0, end - longest) - 1, -1):
+                        token = ids.get(word[start:end])
+                        if token is not None and (not start or (
+                                apart[pair] if (pair := (states[start - 1], token)) in apart else stay_apart(*pair))):
+                            break
+                states.append(token)
+                lengths.append(end - start)
             at, out = len(word), array("I")
             while at:
                 out.append(states[at - 1])
@@ -171,8 +185,8 @@ def _encode(tokenizer: str):
             held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 out: list = [[] for _ in range(part.num_rows)]
                 held: list = []
                 size = 0
@@ -193,14 +207,14 @@ def _encode(tokenizer: str):
 
 def _decode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_bytes = Vocabulary(tokenizer.value).bytes
+        spelled = token_bytes(json.loads(tokenizer.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = []
                 for ids in part.column("ids"):
                     codes = np.frombuffer(ids.as_buffer(), dtype="<u4") if ids.is_valid else np.empty(0, "<u4")
-                    pieces = [b"".join(map(token_bytes.__getitem__, codes[k:k + BLOCK].tolist()))
+                    pieces = [b"".join(map(spelled.__getitem__, codes[k:k + BLOCK].tolist()))
                               for k in range(0, len(codes), BLOCK)]
                     texts.append(b"".join(pieces).decode("utf-8", errors="replace"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
@@ -234,7 +248,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Digests of each text's ids and of the text decoded from them."""
-    return decode(encode(docs, id_col, text_col, path), path).select(
-        F.col(id_col), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Digests of each text's ids and of the text decoded from them: ``encode``
+    and ``decode`` one after the other in the same Python worker."""
+    tokenizer = _tokenizer(docs, path)
+    there, back = _encode(tokenizer), _decode(tokenizer)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    both = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(lambda rows: back(there(rows)), schema)
+    return both.select(F.col(f"`{id_col}`"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
