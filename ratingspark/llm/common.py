@@ -42,3 +42,33 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
 def splitmix(c: F.Column, salt: int) -> F.Column:
     """A 64-bit hash of a column, different for each salt."""
     return F.xxhash64(c, F.lit(salt))
+
+
+#: Bits of the map that ``thinned`` builds: at most 512 rows of 4 KB.
+MAP_BITS = 1 << 24
+
+
+def _marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Adds ``map found``: false only where no row of ``wanted`` has the key."""
+    slot = F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1
+    bits = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("map bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("map bits"))
+    place = "bitmap_bit_position(`map slot`)"
+    found = f"shiftright(int(conv(hex(substring(`map bits`, int({place} / 8) + 1, 1)), 16, 10)), int({place} % 8)) & 1 = 1"
+    return (rows.withColumn("map slot", slot).withColumn("map bucket", F.bitmap_bucket_number("map slot"))
+            .join(F.broadcast(bits), "map bucket", "left")
+            .withColumn("map found", F.coalesce(F.expr(found), F.lit(False))))
+
+
+def thinned(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Drops rows that an equi-join with ``wanted`` on ``key`` would drop, by a
+    bitmap of hashed keys, before they are shuffled. The map's size is fixed:
+    with very many keys it lets more rows pass, and the join still decides. Follow
+    it by an inner join: the optimizer would move a semi-join before the map."""
+    return _marked(rows, key, wanted).where("`map found`").select(*[f"`{c}`" for c in rows.columns])
+
+
+def split_by(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have their key in ``wanted``, and those that have not."""
+    marked, columns = _marked(rows, key, wanted), [f"`{c}`" for c in rows.columns]
+    return marked.where("`map found`").select(*columns), marked.where("not `map found`").select(*columns)

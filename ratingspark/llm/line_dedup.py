@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import written
+from ratingspark.llm.common import split_by, thinned, written
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 4, 3
 CONSTANT, COPY_SHARE = 0.7, 0.8
@@ -77,14 +77,15 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = kinds.where(F.col("texts") >= min_docs).join(leaves, "leaf", "left_semi")
     wanted = written(rare.unionByName(known).select("leaf", "line", "texts"), "wanted-lines")
 
-    # the words of one holder of each wanted line
-    holder = (lines.join(wanted, ["leaf", "line"]).groupBy("leaf", "line", "texts")
-              .agg(F.min(F.struct("t1", "t2", "place")).alias("at")))
-    spots = written(holder.groupBy("at.t1", "at.t2").agg(
-        F.collect_list(F.struct("at.place", "leaf", "line", "texts")).alias("spots")), "spots")
-    split_texts = texts.join(spots, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
-    taken = split_texts.select(F.split("text", "\n").alias("lines"), F.explode("spots").alias("spot")).select(
-        "spot.leaf", "spot.line", "spot.texts", F.element_at("lines", F.col("spot.place") + 1).alias("content"))
+    # the words of one holder of each wanted line; bitmaps keep the other lines out of the shuffle
+    spot = F.xxhash64("t1", "t2", "place")
+    holder = written(lines.join(wanted, ["leaf", "line"]).groupBy("leaf", "line", "texts")
+                     .agg(F.min(F.struct("t1", "t2", "place")).alias("at"))
+                     .select("leaf", "line", "texts", "at.*").withColumn("spot", spot), "holders")
+    contents = (thinned(texts.select("t1", "t2", "text"), "t1", holder)
+                .select("t1", "t2", F.posexplode(F.split("text", "\n")).alias("place", "content")).withColumn("spot", spot))
+    contents = thinned(contents, "spot", holder).dropDuplicates(["t1", "t2", "place"]).drop("spot")
+    taken = contents.join(holder, ["t1", "t2", "place"]).select("leaf", "line", "texts", "content")
     words = written(taken.select("leaf", "line", "texts", F.posexplode(F.transform(
         _words("content"), lambda w: F.when(w != FIELD, F.xxhash64(w)))).alias("at", "word")), "words")
     constant = written(words.where("word is not null").groupBy("leaf", "at", "word")
@@ -125,9 +126,12 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     places = written(recurring_lines(docs, id_col, text_col, **options), "dropped-lines")
     text = F.col(f"`{text_col}`")
     keyed = docs.withColumns({"line dedup 1": F.xxhash64(text), "line dedup 2": F.xxhash64(F.lit(7), text)})
-    joined = keyed.join(places.select(F.col("t1").alias("line dedup 1"), F.col("t2").alias("line dedup 2"),
-                                      F.col("places").alias("line dedup places")),
-                        ["line dedup 1", "line dedup 2"], "left")
+    names = places.select(F.col("t1").alias("line dedup 1"), F.col("t2").alias("line dedup 2"),
+                          F.col("places").alias("line dedup places"))
+    # rows whose text loses nothing are not shuffled
+    touched, whole = split_by(keyed, "line dedup 1", names)
+    joined = touched.join(names, ["line dedup 1", "line dedup 2"], "left").unionByName(
+        whole.withColumn("line dedup places", F.lit(None).cast(names.schema["line dedup places"].dataType)))
     dropped = F.col("line dedup places")
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains(dropped, at)), "\n")
     return joined.select(
