@@ -9,7 +9,7 @@ key with partial aggregation before the (firm, year) shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratingspark.sources.tables import read_table
@@ -93,32 +93,31 @@ def firm_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    p = F.col("l_extendedprice").cast("decimal(18,2)")
-    d = F.col("l_discount").cast("decimal(4,2)")
-    t = F.col("l_tax").cast("decimal(4,2)")
+    # exact sums of whole cents and hundredths of cents in longs; scaled once per group
+    def hundredths(name: str, kind: str) -> Column:
+        return (F.col(name).cast(kind) * 100).cast("long")
+
+    p, d, t = hundredths("l_extendedprice", "decimal(18,2)"), hundredths("l_discount", "decimal(4,2)"), hundredths(
+        "l_tax", "decimal(4,2)")
+    lines = li.select("l_orderkey", "l_returnflag", "l_linestatus", p.alias("p"), d.alias("d"), t.alias("t"))
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
+    gross, net, off, tax = F.col("p"), F.col("p") * (100 - F.col("d")), F.col("p") * F.col("d"), F.col("p") * F.col("t")
 
-    def fsum(expr, cond=None):
-        return F.sum(expr if cond is None else F.when(cond, expr))
-
-    j = o.join(li, o.o_orderkey == li.l_orderkey)
-    return j.groupBy(F.col("o_custkey").alias("firm_id"),
-                     F.year("o_orderdate").cast("bigint").alias("period")).agg(
-        fsum(p).alias("total_assets"),
-        fsum(p, ls == "O").alias("total_liabilities"),
-        fsum(p, rf == "A").alias("short_term_assets"),
-        fsum(p, rf == "R").alias("short_term_liabilities"),
-        fsum(p * (d - t)).alias("net_profit_after_tax"),
-        fsum(p * (F.lit(1) - d)).alias("net_revenue"),
-        fsum(p * t, rf == "R").alias("interest_expense"),
-        fsum(p * (F.lit(1) - d), ls == "F").alias("gross_profit"),
-        fsum(p * d, (rf == "A") & (ls == "F")).alias("operating_profit"),
-        fsum(p * d, rf == "N").alias("cash"),
-        fsum(p * t, ls == "F").alias("long_term_debt"),
-        fsum(p * d, ls == "F").alias("retained"),
-        fsum(p, rf == "N").alias("deposits"),
-        fsum(p * (F.lit(1) - d), ls == "O").alias("loans"),
-    )
+    def fsum(expr, name, cond=None):
+        return F.sum(expr if cond is None else F.when(cond, expr)).alias(name)
+
+    sums = (o.join(lines, o.o_orderkey == lines.l_orderkey)
+            .groupBy(F.col("o_custkey").alias("firm_id"), F.year("o_orderdate").cast("bigint").alias("period")).agg(
+        fsum(gross, "total_assets"), fsum(gross, "total_liabilities", ls == "O"),
+        fsum(gross, "short_term_assets", rf == "A"), fsum(gross, "short_term_liabilities", rf == "R"),
+        fsum(off - tax, "net_profit_after_tax"), fsum(net, "net_revenue"), fsum(tax, "interest_expense", rf == "R"),
+        fsum(net, "gross_profit", ls == "F"), fsum(off, "operating_profit", (rf == "A") & (ls == "F")),
+        fsum(off, "cash", rf == "N"), fsum(tax, "long_term_debt", ls == "F"), fsum(off, "retained", ls == "F"),
+        fsum(gross, "deposits", rf == "N"), fsum(net, "loans", ls == "O")))
+    cents = {"total_assets", "total_liabilities", "short_term_assets", "short_term_liabilities", "deposits"}
+    unit = {c: "0.01BD" if c in cents else "0.0001BD" for c in FIRM_YEAR_AMOUNTS}
+    return sums.select("firm_id", "period", *[(F.col(c).cast("decimal(20,0)") * F.expr(unit[c])).alias(c)
+                                              for c in FIRM_YEAR_AMOUNTS])
 
 
 def rating_event(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +169,3 @@ def statement_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     # fixed-size map (17 keys x 2 kinds): broadcast is bounded by construction
     return long.join(F.broadcast(_item_map(spark)), ["item_key", "is_bank"]).select(
         "ticker", "statement", "period", "item_pos", "item_id", "value")
-
-
-def firm_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return firm(spark, sf_dir).select("ticker", "sector", "company_name", "exchange", "data_source")
