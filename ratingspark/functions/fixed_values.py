@@ -875,15 +875,12 @@ CV_REPEATS = 3
 LOCAL_SAMPLE_WEIGHT = 3.0
 MERGE_LOCAL_WEIGHT = 3.0
 MIN_CLASS_SIZE = 3
-MIN_CV_CLASS = 5
-SMOTE_MIN_SAMPLES = 15
 LOO_CV_THRESHOLD = 50
 MIN_LOCAL_FOR_FINETUNE = 10
 FINETUNE_LOCAL_WEIGHT = 5.0
 FINETUNE_EXTRA_TREES = 100
 FINETUNE_EXTRA_ROUNDS_BOOSTED = 50
 FINETUNE_EXTRA_ROUNDS_GB = 50
-FINETUNE_LR_FACTOR = 0.3
 FOREST_PARAMS = {"n_trees": 300, "max_depth": 10, "min_samples_split": 5}
 BOOSTED_PARAMS = {"n_rounds": 300, "max_depth": 8, "learning_rate": 0.03,
                   "subsample": 0.8, "colsample": 0.8}
