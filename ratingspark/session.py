@@ -4,6 +4,7 @@ checkpoint folder read from the cluster's own configuration."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,7 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is an error; only a session on a local master gets a temporary folder."""
     d = spark.conf.get(_CKPT_KEY, None)
     if not d:
-        if not (spark.conf.get("spark.master", "") or "").startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "") or ""):
             raise ValueError(f"{_CKPT_KEY} must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="ratingspark-ckpt-")
         spark.conf.set(_CKPT_KEY, d)
