@@ -172,7 +172,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
              .dropDuplicates(["also"]).select("id", "text", F.col("also").alias("range"), "tie",
                                               F.lit(True).alias("copied")))
     dealt = (ranged.select("id", "text", "range", "tie", F.lit(False).alias("copied")).unionByName(heads)
-             .repartition(n, "range")
+             .repartitionById(n, F.col("range"))
              .sortWithinPartitions("range", "copied", F.col("id").asc_nulls_first(), "tie"))
     schema = ("id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double")
