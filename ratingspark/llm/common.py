@@ -3,10 +3,13 @@ cluster's shared folder and column helpers."""
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -17,7 +20,7 @@ def scratch_root(spark: SparkSession) -> str:
     a local master may lack the setting; it then gets a temporary folder."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
-        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "") or ""):
             raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ratingspark-llm-")
         spark.conf.set(CHECKPOINT_KEY, folder)
@@ -33,17 +36,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pick(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, so that extra input columns cannot clash with
-    the names an operator adds."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that travel to a Python worker at once, unless the session says otherwise.
+BATCH_ROWS = 1000
 
 
-def splitmix(c: F.Column, salt: int) -> F.Column:
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts are far larger than Spark's default of 10,000 rows a batch
+    allows for; sets a smaller number in sessions that have not set their own."""
+    if spark.conf.get(ROWS_KEY, None) is None:
+        spark.conf.set(ROWS_KEY, str(BATCH_ROWS))
+
+
+def splitmix(c: Column, salt: int) -> Column:
     """A 64-bit hash of a column, different for each salt."""
     return F.xxhash64(c, F.lit(salt))
 
 
+def released(run):
+    """A batch function that at its end gives the memory it no longer uses back
+    to the system: Spark keeps its worker for the stages that follow."""
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return wrapped
+
+
 #: Bits of the map that ``thinned`` builds: at most 512 rows of 4 KB.
 MAP_BITS = 1 << 24
 
