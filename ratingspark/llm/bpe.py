@@ -25,11 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 1_000_000
+from ratingspark.llm.common import bounded_batches, released
+
+BLOCK = 300_000
+#: Pairs of tokens whose neighbourhood a task remembers at most.
+HELD_PAIRS = 300_000
 #: Rows that are encoded together, so that their words share one trie.
-ROWS = 1500
-#: Distinct words whose encodings a task holds at most; beyond, it starts anew.
-HELD_WORDS = 400_000
+ROWS = 400
+#: Distinct words whose encodings a task holds at most, but for those of one block.
+HELD_WORDS = 150_000
 
 #: Fixed value: the published pre-tokenizer pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -67,27 +71,28 @@ class Vocabulary:
         self.ids = {token: k for k, token in enumerate(self.bytes) if k not in self.special.values()}
         self.longest = max(map(len, self.ids))
         self.merge: dict[tuple[int, int], int] = {}
-        made: dict[int, tuple[int, int, int]] = {}
+        self.made: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = (self.ids[bytes(letters[c] for c in part)]
                            for part in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merge[left, right] = rank
-            made[self.ids[self.bytes[left] + self.bytes[right]]] = (rank, left, right)
-        # a token's outer parts at either end, from its byte up, with the rank that makes each
-        self.right_end = [self._end(made, k, 2) for k in range(len(self.bytes))]
-        self.left_end = [self._end(made, k, 1) for k in range(len(self.bytes))]
+            self.made[self.ids[self.bytes[left] + self.bytes[right]]] = (rank, left, right)
+        self.ends: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.words = regex.compile(PATTERN)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    @staticmethod
-    def _end(made: dict, token: int, side: int) -> list[tuple[int, int]]:
-        out = []
-        while token in made:
-            out.append((made[token][0], token))
-            token = made[token][side]
-        out.append((-1, token))
-        return out[::-1]
+    def _end(self, token: int, side: int) -> list[tuple[int, int]]:
+        """A token's outer parts on one side (1 left, 2 right), from its byte
+        up, with the rank that makes each."""
+        out = self.ends.get((token, side))
+        if out is None:
+            out, part = [], token
+            while part in self.made:
+                out.append((self.made[part][0], part))
+                part = self.made[part][side]
+            out = self.ends[token, side] = [*out, (-1, part)][::-1]
+        return out
 
     def stay_apart(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes of two tokens ends in just these
@@ -96,7 +101,7 @@ class Vocabulary:
         known = self.apart.get((left, right))
         if known is not None:
             return known
-        a, b = self.right_end[left], self.left_end[right]
+        a, b = self._end(left, 2), self._end(right, 1)
         i = j = 0
         never = 1 << 60
         while True:
@@ -113,7 +118,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self.apart) >= 2_000_000:
+        if len(self.apart) >= HELD_PAIRS:
             self.apart.clear()
         self.apart[left, right] = known
         return known
@@ -172,9 +177,10 @@ def _encode(tokenizer: str):
 
         def flush(held: list, out: list) -> None:
             fresh = {w for _, words in held for w in words if w not in known}
-            if len(known) + len(fresh) > HELD_WORDS:
+            if len(known) + len(fresh) > HELD_WORDS:  # only the words at hand stay
+                stay = {w: known[w] for _, words in held for w in words if w in known}
                 known.clear()
-                fresh = {w for _, words in held for w in words}
+                known.update(stay)
             for special in [w for w in fresh if isinstance(w, int)]:
                 known[special] = array("I", [special]).tobytes()
                 fresh.discard(special)
@@ -224,6 +230,7 @@ def _decode(tokenizer: str):
 
 def _tokenizer(df: DataFrame, path: str | None):
     """The tokenizer file's text as a broadcast: a fixed file of a few MB."""
+    bounded_batches(df.sparkSession)
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path("byte_bpe_50k.json")
@@ -237,14 +244,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return (docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-            .mapInArrow(_encode(_tokenizer(docs, path)), schema))
+            .mapInArrow(released(_encode(_tokenizer(docs, path))), schema))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Adds ``decoded``, the text of ``ids``; bytes that are not UTF-8 become
     U+FFFD, null ids the empty text."""
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
-    return encoded.mapInArrow(_decode(_tokenizer(encoded, path)), schema)
+    return encoded.mapInArrow(released(_decode(_tokenizer(encoded, path))), schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -254,6 +261,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     there, back = _encode(tokenizer), _decode(tokenizer)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    both = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(lambda rows: back(there(rows)), schema)
+    both = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(released(lambda rows: back(there(rows))), schema)
     return both.select(F.col(f"`{id_col}`"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

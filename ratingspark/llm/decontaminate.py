@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import written
+from ratingspark.llm.common import bounded_batches, written
 from ratingspark.llm.shingles import U64, mix, word_hashes
 
 WINDOW, STEP = 32, 16
@@ -323,6 +323,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
           item_text_col: str = "text", rank: int = RANK) -> Column:
     """A column expression over ``docs``: the leaked items of each row, as
     structs of ``item_id, cosine, lcs_share, answer_share``."""
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"),
                              F.col(f"`{item_text_col}`").alias("text")).where("trim(text) != ''")
     blocks = items.count() // BLOCK_ITEMS + 1

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import written
+from ratingspark.llm.common import bounded_batches, written
 
 DIMENSIONS = 4096
 #: Training rows of each label, about: the documented bound of the fit.
@@ -146,6 +146,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           sample: int = SAMPLE) -> Machines:
     """Fits the hierarchy on the training rows of ``docs``. Label counts and
     the machines' weights reach the driver, no rows."""
+    bounded_batches(docs.sparkSession)
     rows = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                         F.col(f"`{lang_col}`").alias("lang"))
             .where(is_training_row("id") & F.col("lang").isNotNull() & F.col("text").isNotNull()))
@@ -181,6 +182,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, machines: Machines, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(machines)
 
     @F.pandas_udf("lang_pred string, score double")
