@@ -6,9 +6,10 @@
    latent space. Passages and term rows stay distributed; only matrices as
    wide as the sketch reach the driver, and the term rows of the final basis.
 3. Every document is cut into windows of the same size at every half window.
-   A window whose weight lies in benchmark terms for less than ``SHARE`` cannot
-   be close to any passage and stops here; the others are projected and
-   compared by cosine with all passages; ``COSINE`` and more is a candidate.
+   A window is compared with the items of which its region (see 4) holds
+   enough words, in any order, to cover ``COVERED``: others cannot be leaks, so
+   nothing is lost, however rare the words around are and however many
+   documents there are. ``COSINE`` and more with a passage is a candidate.
 4. A candidate's region of the document is compared with the whole item by the
    longest common subsequence of words, and with the item's answer, its last
    sentence. It is a leak if the subsequence covers ``COVERED`` of the item
@@ -39,7 +40,9 @@ from ratingspark.llm.shingles import U64, mix, word_hashes
 
 WINDOW, STEP = 32, 16
 RANK, OVERSAMPLE = 128, 16
-SHARE, COSINE = 0.15, 0.45
+COSINE = 0.45
+#: Windows that are searched at once.
+PART = 128
 COVERED, ANSWER_COVERED, NEARLY_ALL = 0.6, 0.5, 0.85
 BLOCK_ITEMS = 2048
 
@@ -214,11 +217,22 @@ class Block:
     def __init__(self, items: list[tuple[int, str]], vocabulary: np.ndarray, frequency: np.ndarray, n_docs: int):
         self.items = [(item, words_of(text), words_of(answer_of(text))) for item, text in items]
         self.idf = np.log((1 + n_docs) / (1 + frequency)) + 0.1
-        self.unknown = float(np.log(1 + n_docs) + 0.1)
         self.vocabulary = vocabulary
         self.basis = np.zeros((len(vocabulary), 1), dtype=np.float32)
+        self.rows = self.basis
         self.passages = np.zeros((0, 1), dtype=np.float32)
-        self.owner = np.zeros(0, dtype=np.int64)
+        self.first = np.zeros(len(items) + 1, dtype=np.int64)
+        self.longest = max((len(own) for _, own, _ in self.items), default=0)
+        # an item without words is never held
+        self.least = np.array([COVERED * len(own) - 1e-9 if len(own) else np.inf for _, own, _ in self.items])
+        find = Lookup(vocabulary)
+        self.own = [np.unique(find(own), return_counts=True) for _, own, _ in self.items]
+        # which items hold a term, and how often
+        terms = np.concatenate([np.empty(0, dtype=np.int64)] + [t for t, _ in self.own])
+        order = np.argsort(terms, kind="stable")
+        self.holder_first = np.searchsorted(terms[order], np.arange(len(vocabulary) + 1))
+        self.holder = np.repeat(np.arange(len(items)), [len(t) for t, _ in self.own])[order]
+        self.holder_count = np.concatenate([np.empty(0, dtype=np.int64)] + [c for _, c in self.own])[order]
 
     def weighted(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct terms of a window and their TF-IDF weights."""
@@ -238,11 +252,36 @@ class Block:
     def set_basis(self, vectors: dict[int, np.ndarray]) -> None:
         if vectors:
             self.basis = np.stack([vectors[int(t)] for t in self.vocabulary.view(np.int64)]).astype(np.float32)
+        self.rows = self.basis * self.idf[:, None].astype(np.float32)
         parts = self.item_passages()
         if parts:
             z = np.stack([weights @ self.basis[terms] for _, terms, weights in parts]).astype(np.float32)
             self.passages = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-            self.owner = np.array([k for k, _, _ in parts])
+            self.first = np.searchsorted([k for k, _, _ in parts], np.arange(len(self.items) + 1))
+
+    def held(self, at: np.ndarray) -> list[int]:
+        """Items of which a text holds enough words, each as often as the item
+        has it and in any order, to cover ``COVERED``."""
+        terms, counts = np.unique(at[at >= 0], return_counts=True)
+        size = self.holder_first[terms + 1] - self.holder_first[terms]
+        rows = np.repeat(self.holder_first[terms] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.minimum(self.holder_count[rows], np.repeat(counts, size))
+        return np.flatnonzero(np.bincount(self.holder[rows], common, len(self.items)) >= self.least).tolist()
+
+    def may_cover(self, k: int, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which windows' regions hold enough words of item k, in any order,
+        to cover ``COVERED``: no other window can lead to a leak."""
+        terms, counts = self.own[k]
+        length = len(self.items[k][1])
+        place = np.minimum(np.searchsorted(terms, at), len(terms) - 1)
+        hit = np.flatnonzero(terms[place] == at)
+        n_halves = -(-len(at) // STEP)
+        grid = np.bincount(place[hit] * n_halves + hit // STEP, minlength=len(terms) * n_halves)
+        sums = np.zeros((len(terms), n_halves + 1), dtype=np.int64)
+        np.cumsum(grid.reshape(len(terms), n_halves), axis=1, out=sums[:, 1:])
+        low = np.maximum(starts - length, 0) // STEP
+        high = np.minimum(-(-(starts + WINDOW + length) // STEP), n_halves)
+        return np.minimum(sums[:, high] - sums[:, low], counts[:, None]).sum(axis=0) >= self.least[k]
 
     def search(self, words: np.ndarray, find: Lookup) -> dict[int, tuple[float, list[int]]]:
         """Candidate items of a text: best cosine and the windows' starts."""
@@ -250,26 +289,31 @@ class Block:
         if not n or not len(self.passages):
             return {}
         at = find(words)
-        known = np.where(at >= 0, self.idf[at] ** 2, 0.0)
-        all_sum = np.concatenate([[0.0], np.cumsum(np.where(at >= 0, known, self.unknown**2))])
-        known_sum = np.concatenate([[0.0], np.cumsum(known)])
         starts = np.asarray(window_starts(n))
-        ends = np.minimum(starts + WINDOW, n)
-        share = (known_sum[ends] - known_sum[starts]) / (all_sum[ends] - all_sum[starts])
-        starts = starts[share >= SHARE]
         found: dict[int, tuple[float, list[int]]] = {}
-        for low in range(0, len(starts), 1024):
-            part = starts[low:low + 1024]
-            z = np.zeros((len(part), self.basis.shape[1]), dtype=np.float32)
-            for row, s in enumerate(part):
-                terms, weights = self.weighted(at[s:s + WINDOW])
-                z[row] = weights @ self.basis[terms]
+        for low in range(0, len(starts), PART):
+            part = starts[low:low + PART]
+            begin = max(0, part[0] - self.longest) // STEP * STEP
+            around = at[begin:part[-1] + WINDOW + self.longest]
+            possible = [(k, part[self.may_cover(k, around, part - begin)]) for k in self.held(around)]
+            possible = [(k, where) for k, where in possible if len(where)]
+            if not possible:
+                continue
+            # weights add up word by word: each half window is summed once and used by two windows
+            near = at[part[0]:part[-1] + WINDOW]
+            known = np.flatnonzero(near >= 0)
+            halves = np.zeros((len(part) + 1, self.basis.shape[1]), dtype=np.float32)
+            if len(known):
+                half, first = np.unique(known // STEP, return_index=True)
+                halves[half] = np.add.reduceat(self.rows[near[known]], first, axis=0)
+            z = halves[:-1] + halves[1:]
             z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-            cosine = z @ self.passages.T
-            for row, p in zip(*np.nonzero(cosine >= COSINE)):
-                item = int(self.owner[p])
-                best, where = found.get(item, (0.0, []))
-                found[item] = (max(best, float(cosine[row, p])), where + [int(part[row])])
+            for k, where in possible:
+                cosine = (z[(where - part[0]) // STEP] @ self.passages[self.first[k]:self.first[k + 1]].T).max(axis=1)
+                close = cosine >= COSINE
+                if close.any():
+                    best, earlier = found.get(k, (0.0, []))
+                    found[k] = (max(best, float(cosine.max())), earlier + where[close].tolist())
         return found
 
     def leaks(self, text: str | None, find: Lookup, masks: dict) -> list[dict]:

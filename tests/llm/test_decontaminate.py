@@ -69,6 +69,45 @@ def test_documents_match_exhaustive_comparison(spark, docs):
     assert len(got & want) >= 0.9 * len(want) and not got - want
 
 
+def test_short_items_are_found_at_any_corpus_size():
+    """Short items of usual words, verbatim among words that stand nowhere
+    else; each usual word is in a quarter of the documents at every size."""
+    rng = random.Random(8)
+    usual = [f"usual{k}" for k in range(60)]
+    items = [(k, " ".join(rng.sample(usual, 13 + k))) for k in range(12)]
+    vocabulary = np.unique(np.concatenate([dc.words_of(t) for _, t in items]))
+    for n_docs in (10**3, 10**5, 10**7, 10**9):
+        block, find = dc.Block(items, vocabulary, np.full(len(vocabulary), n_docs // 4), n_docs), dc.Lookup(vocabulary)
+        block.set_basis(dict(zip(vocabulary.view(np.int64).tolist(), np.eye(len(vocabulary)))))
+        for item, text in items:
+            for before in range(0, 40, 3):
+                host = [f"rare{k}" for k in range(90)]
+                leaks = block.leaks(" ".join(host[:before] + text.split() + host[before:]), find, {})
+                assert [(r["item_id"], r["lcs_share"]) for r in leaks] == [(item, 1.0)]
+
+
+def test_gate_loses_no_region_that_could_be_a_leak():
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(1, 50)))) for k in range(20)]
+    vocabulary = np.unique(np.concatenate([dc.words_of(t) for _, t in items]))
+    block, find = dc.Block(items, vocabulary, np.ones(len(vocabulary)), 100), dc.Lookup(vocabulary)
+    leaking = 0
+    for _ in range(40):
+        text = dc.words_of(" ".join(rng.choices([*words, "x", "y", *["z"] * 60], k=rng.randrange(1, 400))
+                                    + items[rng.randrange(20)][1].split() + ["z"] * rng.randrange(200)))
+        at, starts = find(text), np.asarray(dc.window_starts(len(text)))
+        held = block.held(at)
+        for k, (_, own, _) in enumerate(block.items):
+            passed = block.may_cover(k, at, starts)
+            for s, ok in zip(starts.tolist(), passed.tolist()):
+                region = text[max(0, s - len(own)):s + dc.WINDOW + len(own)].tolist()
+                if dc.lcs(dc.word_masks(own), len(own), region) >= dc.COVERED * len(own):
+                    leaking += 1
+                    assert ok and k in held
+    assert leaking > 40
+
+
 def test_svd_spans_the_leading_directions(spark):
     rng = np.random.default_rng(7)
     dense = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 40))
