@@ -5,8 +5,13 @@ length). One-versus-one linear support vector machines first choose the
 language family, then, within that family, the language. Each machine is
 fitted in a task of its own on a bounded sample: of every label about
 ``SAMPLE`` rows, chosen by a hash of their id. Each machine's margin is turned
-into a probability; the score is that of the family times that of the
-language within it.
+into a probability. A choice's score is its mean probability against the
+others, the row's that of the family times that of the language within it.
+
+A least score for each language, to tell texts in none of the languages
+(``calibrated``), is taken from training rows that the machines judging them
+have not seen: ``LENIENCE`` of what all but ``RARE`` of a language's rows reach.
+It grows with the machines' certainty and not with the number of languages.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as
 is every text if nothing could be learned; a single label (or family) needs no
@@ -31,6 +36,9 @@ DIMENSIONS = 4096
 #: Training rows of each label, about: the documented bound of the fit.
 SAMPLE = 600
 PIECE = 1 << 18
+#: Of a language with at least ``HELD_LEAST`` training rows one in ``HELD`` is held out to find its least score.
+HELD, HELD_LEAST = 5, 10
+LENIENCE, RARE = 0.65, 0.005
 UND = "und"
 #: Families of the commoner languages; any other label is a family of its own.
 FAMILIES = {
@@ -101,7 +109,10 @@ def is_training_row(id_col: str) -> Column:
 class Machines:
     """The fitted hierarchy: small, one weight vector per pair of labels."""
 
-    def __init__(self, labels: list[str], fitted: dict[str, tuple[np.ndarray, float, float]]):
+    def __init__(self, labels: list[str], fitted: dict[str, tuple[np.ndarray, float, float]],
+                 least: dict[str, float] | None = None):
+        #: Least scores by label; a label too rare to hold rows out has the lowest of the others.
+        self.least = least or {}
         self.families: dict[str, list[str]] = {}
         for label in sorted(labels):
             self.families.setdefault(family_of(label), []).append(label)
@@ -129,12 +140,15 @@ class Machines:
             total[a] += p
             total[b] += 1 - p
         best = max(choices, key=lambda c: (total[c], c))
-        return best, total[best] * 2 / (len(choices) * (len(choices) - 1))
+        return best, total[best] / (len(choices) - 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.families or not re.search(r"[^\W\d_]", text):
             return UND, 0.0
-        margins = self.weights @ features(text)
+        return self.judge(features(text))
+
+    def judge(self, x: np.ndarray) -> tuple[str, float]:
+        margins = self.weights @ x
         p = 1 / (1 + np.exp(-np.clip(self.shape[:, 0] * margins + self.shape[:, 1], -30, 30)))
         odds = dict(zip(self.names, p.tolist()))
         family, sure = self._best("family", sorted(self.families), odds)
@@ -143,9 +157,10 @@ class Machines:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          sample: int = SAMPLE) -> Machines:
-    """Fits the hierarchy on the training rows of ``docs``. Label counts and
-    the machines' weights reach the driver, no rows."""
+          sample: int = SAMPLE, calibrated: bool = False) -> Machines:
+    """Fits the hierarchy on the training rows of ``docs``, and if
+    ``calibrated`` finds the least score of each label. Label counts, least
+    scores and the machines' weights reach the driver, no rows."""
     bounded_batches(docs.sparkSession)
     rows = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                         F.col(f"`{lang_col}`").alias("lang"))
@@ -161,7 +176,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def vectors(texts: pd.Series) -> pd.Series:
         return texts.map(features)
 
-    picked = written(picked.select("lang", vectors("text").alias("x")), "language-sample")
+    held = (F.pmod(F.xxhash64(F.lit("held out"), "id", "text"), F.lit(HELD)) == 0) & \
+        F.col("lang").isin([label for label, n in counts.items() if min(n, sample) >= HELD_LEAST])
+    picked = written(picked.select("lang", held.alias("held"), vectors("text").alias("x")), "language-sample")
     uses: dict[str, list] = {label: [] for label in counts}
     for name, a, b in pairs:
         for label in counts:
@@ -175,9 +192,33 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         w, a, b = fit_svm(np.stack(rows["x"].to_numpy()).astype(np.float32), rows["y"].to_numpy(np.float32))
         return pd.DataFrame({"machine": [rows["machine"].iloc[0]], "w": [w], "a": [a], "b": [b]})
 
-    fitted = (picked.join(F.broadcast(table), "lang").select("machine", "y", "x")  # a few rows per label
-              .groupBy("machine").applyInPandas(fit, "machine string, w array<float>, a double, b double").collect())
-    return Machines(list(counts), {r["machine"]: (np.array(r["w"], dtype=np.float32), r["a"], r["b"]) for r in fitted})
+    def machines(rows: DataFrame, least: dict[str, float] | None = None) -> Machines:
+        fitted = (rows.join(F.broadcast(table), "lang").select("machine", "y", "x")  # a few rows per label
+                  .groupBy("machine").applyInPandas(fit, "machine string, w array<float>, a double, b double").collect())
+        return Machines(list(counts), {r["machine"]: (np.array(r["w"], dtype=np.float32), r["a"], r["b"])
+                                       for r in fitted}, least)
+
+    if not calibrated:
+        return machines(picked)
+    shared = docs.sparkSession.sparkContext.broadcast(machines(picked.where("not held")))
+
+    @F.pandas_udf("label string, score double")
+    def judged(vectors: pd.Series) -> pd.DataFrame:
+        model = shared.value
+        return pd.DataFrame([model.judge(np.asarray(x, dtype=np.float32)) for x in vectors], columns=["label", "score"])
+
+    found = picked.where("held").select("lang", judged("x").alias("found")).where("found.label = lang")
+    least = found.groupBy("lang").agg(F.percentile("found.score", F.lit(RARE)).alias("score")).collect()
+    return machines(picked, {r["lang"]: LENIENCE * r["score"] for r in least})
+
+
+def certain(machines: Machines) -> Column:
+    """Which rows of ``identify`` have a language, and at least its least score."""
+    known = F.col("lang_pred") != UND
+    if not machines.least:
+        return known
+    least = F.create_map(*[F.lit(x) for pair in sorted(machines.least.items()) for x in pair])
+    return known & (F.col("score") >= F.coalesce(least[F.col("lang_pred")], F.lit(min(machines.least.values()))))
 
 
 def identify(docs: DataFrame, machines: Machines, text_col: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from ratingspark.llm import lang_id
@@ -29,6 +30,37 @@ def test_more_labels_than_families(spark):
     assert sum(got[k] == lang for k, _, lang in rows) > 0.95 * len(rows)
 
 
+def many_labels(spark):
+    """Ten labels in nine families, each with letters of its own."""
+    rng = random.Random(5)
+    letters = [chr(0x250 + k) for k in range(80)]
+    labels = ["en", "de", *[f"q{k}" for k in range(8)]]
+    words = {lang: ["".join(rng.choices(letters[8 * k:8 * k + 8], k=4)) for _ in range(30)] for k, lang in enumerate(labels)}
+    rows = [(k, " ".join(rng.choices(words[labels[k % 10]], k=25)), labels[k % 10]) for k in range(800)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows
+
+
+def test_certain_choice_scores_near_one_with_many_labels(spark):
+    docs, rows = many_labels(spark)
+    got = {r.doc_id: r for r in lang_id.predictions(docs).collect()}
+    assert all(got[k].lang_pred == lang and got[k].score > 0.8 for k, _, lang in rows)
+
+
+def test_least_score_keeps_clean_rows_and_rejects_letter_junk(spark, docs):
+    rng = random.Random(6)
+    many, _ = many_labels(spark)
+    real = "".join(r.text for r in docs.collect())
+    usual, strange = sorted({c for c in real.lower() if c.isalpha()}), [chr(0x250 + k) for k in range(80)]
+    for clean, letters in ((many, strange), (docs.select("doc_id", "text", "lang"), usual)):
+        machines = lang_id.train(clean, calibrated=True)
+        assert machines.least and all(0.3 < x < 0.7 for x in machines.least.values())
+        kept = lang_id.identify(clean, machines).where(lang_id.certain(machines))
+        assert kept.count() == clean.count()
+        junk = [(k, " ".join("".join(rng.choices(letters, k=6)) for _ in range(100))) for k in range(60)]
+        left = lang_id.identify(spark.createDataFrame(junk, "doc_id long, text string"), machines)
+        assert left.where(lang_id.certain(machines)).count() <= 3
+
+
 def test_edge_rows(edge_docs, no_docs, docs):
     machines = lang_id.train(docs)
     found = lang_id.identify(edge_docs, machines)
