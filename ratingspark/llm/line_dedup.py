@@ -11,7 +11,10 @@ is lost from the corpus altogether (``keep_first=False`` drops that as well).
 
 Documents with equal texts count as one. A document with ``COPY_SHARE`` or
 more of its words in recurring lines is a copy of others rather than a carrier
-of boilerplate; it stays whole, for near-deduplication to judge.
+of boilerplate; it stays whole, for near-deduplication to judge. With
+``verified`` (the pipeline) the share is not enough: only a text of which
+another holds the same recurring passages, so that their ``WIDTH``-word
+shingles are similar by ``NEAR`` or more, stays whole.
 
 Exact recurring lines are their own templates: of these only one row per
 distinct line is taken apart. No leaf, template or document group meets in one
@@ -33,6 +36,8 @@ from ratingspark.llm.common import split_by, thinned, written
 
 DEPTH, MIN_TOKENS, MIN_DOCS = 3, 4, 3
 CONSTANT, COPY_SHARE = 0.7, 0.8
+#: Shingles and similarity of the near-duplicate stage.
+WIDTH, NEAR = 5, 0.8
 FIELD = "<*>"
 
 
@@ -50,8 +55,42 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.xxhash64(F.lit(7), text).alias("t2"))
 
 
+def _near_copies(texts: DataFrame, found: DataFrame, copies: DataFrame) -> DataFrame:
+    """``t1, t2`` of the texts among ``copies`` that have a near copy with the
+    same recurring passages. With X the shingles inside these passages, and a
+    and b those besides of the two texts, the similarity is at least
+    X / (X + a + b): no pair of texts meets, each is held against the one of
+    its group with the fewest shingles besides."""
+    def shingles(words: str) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(words) - (WIDTH - 1), F.lit(1)))
+        runs = F.filter(F.transform(at, lambda k: F.slice(words, k, WIDTH)),
+                        lambda run: (F.size(run) == WIDTH) & ~F.exists(run, lambda w: w == ""))
+        return F.array_sort(F.array_distinct(F.transform(runs, lambda run: F.xxhash64(run))))
+
+    places = found.join(copies, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("place").alias("places"))
+    text = thinned(texts.select("t1", "t2", "text"), "t1", copies).dropDuplicates(["t1", "t2"]).join(places, ["t1", "t2"])
+    own = F.transform(F.split("text", "\n"), lambda line: F.filter(
+        F.split(F.lower(line), r"[ \t\r\f\x0B]+"), lambda w: w != ""))
+    # a line that does not recur is a gap: the empty word
+    gapped = F.transform("lines", lambda line, k: F.when(
+        (F.size(line) == 0) | F.array_contains("places", k), line).otherwise(F.array(F.lit(""))))
+    sets = (text.withColumn("lines", own)
+            .select("t1", "t2", F.flatten("lines").alias("all"), F.flatten(gapped).alias("again"))
+            .select("t1", "t2", F.size(shingles("all")).alias("n"), shingles("again").alias("x")))
+    besides = F.col("n") - F.size("x")
+    sized = written(sets.where(F.size("x") > 0).select(
+        "t1", "t2", F.size("x").alias("shared"), besides.alias("besides"), F.xxhash64("x").alias("x1"),
+        F.xxhash64(F.lit(7), "x").alias("x2")), "copy-shingles")
+    least = sized.groupBy("x1", "x2").agg(F.min(F.struct("besides", "t1", "t2")).alias("least"))
+    near = written(sized.join(least, ["x1", "x2"]).where(
+        ((F.col("t1") != F.col("least.t1")) | (F.col("t2") != F.col("least.t2")))
+        & (F.col("shared") >= NEAR * (F.col("shared") + F.col("besides") + F.col("least.besides"))))
+        .select("t1", "t2", F.col("least.t1").alias("l1"), F.col("least.t2").alias("l2")), "near-copies")
+    return near.select("t1", "t2").unionByName(near.select(F.col("l1").alias("t1"), F.col("l2").alias("t2"))).distinct()
+
+
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-                    keep_first: bool = True) -> DataFrame:
+                    keep_first: bool = True, verified: bool = False) -> DataFrame:
     """Of every distinct text with lines to drop: its name ``t1, t2`` and
     ``places``, the 0-based numbers of those lines."""
     texts = _keyed(docs, id_col, text_col).where("text is not null")
@@ -113,6 +152,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_text = found.select("t1", "t2", "place", "n", "template").distinct()
     copies = written(per_text.groupBy("t1", "t2").agg(F.sum("n").alias("repeated")).join(in_all, ["t1", "t2"])
                      .where(F.col("repeated") >= COPY_SHARE * F.col("words")).select("t1", "t2"), "copies")
+    if verified:
+        copies = written(_near_copies(texts, found.select("t1", "t2", "place"), copies), "verified-copies")
     drop = per_text.join(copies, ["t1", "t2"], "left_anti")
     if keep_first:
         drop = drop.join(first, "template").where(~((F.col("t1") == F.col("first.t1")) & (F.col("t2") == F.col("first.t2"))

@@ -41,6 +41,21 @@ def test_copies_stay_whole(spark):
     assert all(r.n_dropped == 0 for r in got)
 
 
+def test_boilerplate_pages_lose_the_passage_and_near_copies_stay(spark):
+    """Pages of a 60-word passage and ten words of their own are no near
+    copies of each other; texts that differ in their ending are."""
+    passage = "\n".join(own(k, 12) for k in range(5))
+    rows = [(k, passage + "\n" + " ".join(f"page{chr(97 + k)}{chr(97 + j)}" for j in range(10))) for k in range(12)]
+    copied = "\n".join(own(k, 12) for k in range(10, 19))
+    rows += [(100 + k, copied + f"\nsome ending {chr(97 + k)}") for k in range(4)]
+    # a page of repeated words is no near copy, however long its lines are
+    rows += [(200 + k, "La " * 60 + "\n" + " ".join(f"la{chr(97 + k)}{chr(97 + j)}" for j in range(10))) for k in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in ld.drop_recurring_lines(frame, verified=True).collect()}
+    assert [got[k] for k in range(12)] == [0] + [5] * 11
+    assert all(got[100 + k] == 0 for k in range(4)) and [got[200 + k] for k in range(4)] == [0, 1, 1, 1]
+
+
 def test_equal_texts_count_as_one_document(spark):
     rows = [(k, own(1) + "\n" + own(2)) for k in range(10)] + [(20, own(3) + "\n" + own(2))]
     got = ld.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
