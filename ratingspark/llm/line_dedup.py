@@ -22,7 +22,9 @@ task: all counts combine before the shuffle, all joins are plain equi-joins of
 written tables, which Spark can split where a key is hot.
 
 Defined cases: a null text stays null with 0 lines; an empty text has one
-empty line; lines of fewer than ``MIN_TOKENS`` words are never dropped;
+empty line; lines of fewer than ``MIN_TOKENS`` words are never dropped, unless
+``short`` (the pipeline) lets exact recurring lines of any non-zero length count
+and takes each character of a script without spaces as a word;
 repeated rows get equal results; a null id comes first in the order; other
 columns are kept; an empty table gives no rows. Texts of any length are read
 whole."""
@@ -39,11 +41,19 @@ CONSTANT, COPY_SHARE = 0.7, 0.8
 #: Shingles and similarity of the near-duplicate stage.
 WIDTH, NEAR = 5, 0.8
 FIELD = "<*>"
+#: Characters, with their marks, of scripts that are written without spaces.
+UNSPACED = (r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
+            r"\p{M}*")
 
 
-def _words(line: str) -> Column:
+def _plain_words(line: str, short: bool) -> Column:
+    text = F.regexp_replace(F.col(line), UNSPACED, " $0 ") if short else F.col(line)
+    return F.filter(F.split(text, r"[ \t\r\f\x0B]+"), lambda w: w != "")
+
+
+def _words(line: str, short: bool = False) -> Column:
     """The words of a line, fields with a digit as ``<*>``."""
-    split = F.filter(F.split(F.col(line), r"[ \t\r\f\x0B]+"), lambda w: w != "")
+    split = _plain_words(line, short)
     masked = F.transform(split, lambda w: F.when(w.rlike("[0-9]"), FIELD).otherwise(w))
     return F.when(F.col(line).rlike("[0-9]"), masked).otherwise(split)
 
@@ -90,17 +100,22 @@ def _near_copies(texts: DataFrame, found: DataFrame, copies: DataFrame) -> DataF
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-                    keep_first: bool = True, verified: bool = False) -> DataFrame:
+                    keep_first: bool = True, verified: bool = False,
+                    short: bool = False) -> DataFrame:
     """Of every distinct text with lines to drop: its name ``t1, t2`` and
     ``places``, the 0-based numbers of those lines."""
     texts = _keyed(docs, id_col, text_col).where("text is not null")
     cut = (texts.select("id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-           .select("id", "t1", "t2", "place", _words("line").alias("words")))
+           .select("id", "t1", "t2", "place", "line", _words("line", short).alias("words")))
+    name = F.xxhash64(F.size("words"), "words")
+    if short:  # a short line is its own template as it stands, with its digits
+        name = F.when(F.size("words") >= MIN_TOKENS, name).otherwise(
+            F.xxhash64(F.lit("short"), _plain_words("line", short)))
     skinny = written(cut.select(
         "id", "t1", "t2", "place", F.size("words").alias("n"),
         F.xxhash64(F.size("words"), F.slice("words", 1, DEPTH)).alias("leaf"),
-        F.xxhash64(F.size("words"), "words").alias("line")), "lines")
-    lines = skinny.where(F.col("n") >= MIN_TOKENS)
+        name.alias("line")), "lines")
+    lines = skinny.where(F.col("n") >= (1 if short else MIN_TOKENS))
 
     # (leaf, line) pairs with the number of texts that hold them
     in_texts = lines.select("leaf", "line", "n", "t1", "t2").distinct()
@@ -109,11 +124,12 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = written(kinds.where(F.col("texts") >= min_docs).select(
         "leaf", "line", "texts", F.col("line").alias("template")), "exact-templates")
     # leaves where other lines could share a template: enough of them, or of any lines together
-    leaves = written(kinds.groupBy("leaf").agg(
+    long = kinds.where(F.col("n") >= MIN_TOKENS)
+    leaves = written(long.groupBy("leaf").agg(
         F.sum("texts").alias("texts"), F.sum(F.when(F.col("texts") < min_docs, F.col("texts"))).alias("rare"))
         .where((F.col("rare") >= min_docs) & (F.col("texts") >= min_docs)).select("leaf"), "leaves")
-    rare = kinds.where(F.col("texts") < min_docs).join(leaves, "leaf", "left_semi")
-    known = kinds.where(F.col("texts") >= min_docs).join(leaves, "leaf", "left_semi")
+    rare = long.where(F.col("texts") < min_docs).join(leaves, "leaf", "left_semi")
+    known = long.where(F.col("texts") >= min_docs).join(leaves, "leaf", "left_semi")
     wanted = written(rare.unionByName(known).select("leaf", "line", "texts"), "wanted-lines")
 
     # the words of one holder of each wanted line; bitmaps keep the other lines out of the shuffle
@@ -126,7 +142,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     contents = thinned(contents, "spot", holder).dropDuplicates(["t1", "t2", "place"]).drop("spot")
     taken = contents.join(holder, ["t1", "t2", "place"]).select("leaf", "line", "texts", "content")
     words = written(taken.select("leaf", "line", "texts", F.posexplode(F.transform(
-        _words("content"), lambda w: F.when(w != FIELD, F.xxhash64(w)))).alias("at", "word")), "words")
+        _words("content", short), lambda w: F.when(w != FIELD, F.xxhash64(w)))).alias("at", "word")), "words")
     constant = written(words.where("word is not null").groupBy("leaf", "at", "word")
                        .agg(F.sum("texts").alias("texts")).where(F.col("texts") >= min_docs)
                        .select("leaf", "at", "word"), "constants")

@@ -56,6 +56,17 @@ def test_boilerplate_pages_lose_the_passage_and_near_copies_stay(spark):
     assert all(got[100 + k] == 0 for k in range(4)) and [got[200 + k] for k in range(4)] == [0, 1, 1, 1]
 
 
+def test_short_lines_and_unspaced_scripts(spark):
+    """Exact short lines go, digits told apart; unspaced lines have templates."""
+    han = "本页内容由用户上传于月日归作者所有未经许可不得转载"
+    rows = [(k, own(k) + f"\nAll rights reserved.\nPage {k}\n{own(k + 9)}\n\n版权所有\n{han}{chr(0x4E00 + k)}") for k in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ld.drop_recurring_lines(frame, short=True).collect()}
+    assert got[0].text == rows[0][1]
+    for k in range(1, 5):
+        assert got[k].text == own(k) + f"\nPage {k}\n{own(k + 9)}\n"
+
+
 def test_equal_texts_count_as_one_document(spark):
     rows = [(k, own(1) + "\n" + own(2)) for k in range(10)] + [(20, own(3) + "\n" + own(2))]
     got = ld.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
