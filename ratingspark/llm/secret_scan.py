@@ -1,6 +1,8 @@
 """Secret scan: three fixed patterns and dictionary-primed zstandard novelty.
 
-A candidate is a long unbroken token after a sensitive word. Its novelty is
+A candidate is a run of 8 and more characters other than spaces and quotes that
+begins within ``REACH`` after a sensitive word, with all its joints and however
+far it reaches. Its novelty is
 the marginal compressed size: bytes of zstandard output for the surrounding
 text with the candidate, less those without it, both primed with a dictionary
 of the surrounding identifiers that are most common in the corpus. Ordinary
@@ -33,7 +35,13 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 #: Words that make the token after them sensitive, within ``REACH`` characters.
 SENSITIVE = r"(?:pass(?:word|wd|phrase)?|secret|token|api_?key|auth|bearer|credential|private|akia|access_?key)"
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+#: Long tokens that hold the word itself.
+HOLDING = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+RUN = r"[^\s\"'`]+"
+#: The end of a word or an assignment before a run, and signs of the sentence around it.
+LEAD = re.compile(rf"(?:\w*?{SENSITIVE}\w*[:=]+|[:=>,;)\]}}(\[{{])+", re.IGNORECASE | re.ASCII)
+TRAIL = ".,;:)]}>"
+LEAST_RUN, SHORT = 8, 16
 REACH, AROUND = 40, 160
 DICTIONARY_WORDS = 4096
 #: Marginal bytes per character from which a candidate counts as novel: random
@@ -53,15 +61,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of long tokens that begin within reach after a sensitive word."""
-    out: dict[tuple[int, int], None] = {}
-    token = re.compile(CANDIDATE)
+    """Spans that begin within reach after a sensitive word, none within another."""
+    out: list[tuple[int, int]] = []
+    run, holding = re.compile(RUN), re.compile(HOLDING)
+    run_end = holding_end = 0
     for word in re.finditer(SENSITIVE, text, re.IGNORECASE | re.ASCII):
-        for m in token.finditer(text, word.start()):
-            if m.start() > word.end() + REACH:
-                break
-            out[m.start(), m.end()] = None
-    return list(out)
+        reach = word.end() + REACH
+        # the search ends where a match can no longer begin within reach, the match does not
+        while m := holding.search(text, max(word.start(), holding_end), reach + 16):
+            m = holding.match(text, m.start())
+            out.append(m.span())
+            holding_end = m.end()
+        at = word.end()
+        while at < len(text) and "a" <= text[at] <= "z":  # the word goes on, as in "authentication"
+            at += 1
+        while m := run.search(text, max(at, run_end), reach + 1):
+            m = run.match(text, m.start())
+            run_end = m.end()
+            lead = LEAD.match(text, m.start(), m.end())
+            start = lead.end() if lead else m.start()
+            end = start + len(text[start:m.end()].rstrip(TRAIL))
+            if end - start >= LEAST_RUN:
+                out.append((start, end))
+    spans: list[tuple[int, int]] = []
+    for start, end in sorted(set(out), key=lambda s: (s[0], -s[1])):
+        if not spans or end > spans[-1][1]:
+            spans.append((start, end))
+    return spans
 
 
 def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
@@ -69,20 +95,25 @@ def surroundings(text: str, start: int, end: int) -> tuple[str, str]:
 
 
 def novelty(before: str, candidate: str, after: str, compressor: zstandard.ZstdCompressor) -> float:
-    """Marginal compressed bytes of a candidate per character."""
+    """Marginal compressed bytes of a candidate per character. With a short one
+    the output's own jumps weigh as much as a word does: of it the least with
+    both sides or one of them counts."""
     size = lambda s: len(compressor.compress(s.encode("utf-8")))
-    return max(0, size(before + candidate + after) - size(before + after)) / len(candidate)
+    added = size(before + candidate + after) - size(before + after)
+    if len(candidate) < SHORT and added >= NOVELTY * len(candidate):
+        added = min(added, size(before + candidate) - size(before), size(candidate + after) - size(after))
+    return max(0, added) / len(candidate)
 
 
 def _identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words around candidates, added up in each batch."""
+    """Of the words around candidates the number of texts, added up in each
+    batch: the parts of a secret count once, however many candidates are near."""
     for batch in batches:
         counts: Counter = Counter()
         for text in batch.column(0):
             text = text.as_py() or ""
-            for span in candidates(text):
-                for side in surroundings(text, *span):
-                    counts.update(w for w in re.findall(r"[^\W\d_]{3,}", side) if len(w) <= 40)
+            counts.update({w for span in candidates(text) for side in surroundings(text, *span)
+                           for w in re.findall(r"[^\W\d_]{3,}", side) if len(w) <= 40})
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
                                          names=["word", "n"])
 
