@@ -323,7 +323,7 @@ class Block:
             item, own, answer = self.items[k]
             if k not in masks:
                 masks[k] = word_masks(own), word_masks(answer)
-            covered = answered = 0.0
+            best = None  # of the regions that are a leak
             last = -1
             for s in sorted(set(starts)):
                 low, high = max(0, s - len(own)), s + WINDOW + len(own)
@@ -332,11 +332,11 @@ class Block:
                 region = words[low:high].tolist()
                 share = lcs(masks[k][0], len(own), region) / len(own)
                 reply = lcs(masks[k][1], len(answer), region) / len(answer) if len(answer) else share
-                if (share, reply) > (covered, answered):
-                    covered, answered = share, reply
+                if share >= NEARLY_ALL or share >= COVERED and reply >= ANSWER_COVERED:
+                    best = max(best or (share, reply), (share, reply))
                 last = s
-            if covered >= NEARLY_ALL or covered >= COVERED and answered >= ANSWER_COVERED:
-                out.append({"item_id": item, "cosine": cosine, "lcs_share": covered, "answer_share": answered})
+            if best:
+                out.append({"item_id": item, "cosine": cosine, "lcs_share": best[0], "answer_share": best[1]})
         return out
 
 

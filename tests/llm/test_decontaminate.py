@@ -86,6 +86,20 @@ def test_short_items_are_found_at_any_corpus_size():
                 assert [(r["item_id"], r["lcs_share"]) for r in leaks] == [(item, 1.0)]
 
 
+def test_each_region_is_judged_by_itself():
+    """A quoted question alone, and elsewhere less of the item with its answer."""
+    question, answer = [f"q{k}" for k in range(14)], [f"a{k}" for k in range(6)]
+    text = " ".join(question) + ". " + " ".join(answer[:5]) + " a5."
+    vocabulary = np.unique(dc.words_of(text))
+    block = dc.Block([(1, text)], vocabulary, np.ones(len(vocabulary)), 1000)
+    block.set_basis(dict(zip(vocabulary.view(np.int64).tolist(), np.eye(len(vocabulary)))))
+    quoted, host = text.split()[:14], [f"h{k}" for k in range(200)]
+    leak = text.split()[:7] + text.split()[14:]
+    found = block.leaks(" ".join(host[:40] + quoted + host + leak + host), dc.Lookup(vocabulary), {})
+    assert [(r["item_id"], round(r["lcs_share"], 2), r["answer_share"]) for r in found] == [(1, 0.65, 1.0)]
+    assert not block.leaks(" ".join(host[:40] + quoted + host), dc.Lookup(vocabulary), {})
+
+
 def test_gate_loses_no_region_that_could_be_a_leak():
     rng = random.Random(9)
     words = [f"w{k}" for k in range(60)]
