@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingspark.llm import (bpe, decontaminate, fingerprints, lang_id, license_scan, line_dedup, near_dup,
+from ratingspark.llm import (bpe, centroids, decontaminate, fingerprints, lang_id, license_scan, line_dedup, near_dup,
                              secret_scan, sharding, warc)
 
 
@@ -84,3 +84,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families of the documents' paragraphs."""
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op13_threshold_centroids", centroids.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three exact k-means rounds over the quantised embeddings."""
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
