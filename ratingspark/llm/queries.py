@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingspark.llm import (bpe, centroids, decontaminate, fingerprints, lang_id, license_scan, line_dedup, near_dup,
-                             secret_scan, sharding, warc)
+from ratingspark.llm import (bpe, centroids, decontaminate, divergence, fingerprints, lang_id, license_scan, line_dedup,
+                             near_dup, secret_scan, sharding, warc)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three exact k-means rounds over the quantised embeddings."""
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op11_packed_divergence", divergence.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source's words differ from its language's other sources."""
+    return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
