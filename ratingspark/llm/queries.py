@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratingspark.llm import (bpe, centroids, decontaminate, divergence, fingerprints, lang_id, license_scan, line_dedup,
-                             near_dup, secret_scan, sharding, warc)
+from ratingspark.llm import (bpe, centroids, decontaminate, divergence, fingerprints, html_extract, lang_id, license_scan,
+                             line_dedup, near_dup, secret_scan, sharding, warc)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each source's words differ from its language's other sources."""
     return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query("op12_boosted_dom")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
