@@ -46,3 +46,26 @@ def test_edge_rows(edge_docs, no_docs):
     assert by_id[1].size == by_id[2].size == 1 and by_id[1].text_crc32 == 0
     assert sharding.shard(no_docs).count() == 0
     check_law(range(12), sharding.shard(edge_docs, shards=1).collect(), 1)
+
+
+def test_same_shards_for_any_partitions(spark):
+    """The shards are a function of the rows, also of repeated ones."""
+    rows = [(k, "hot") for k in range(300)] + [(7, "same row")] * 300 + [(None, "no id")] * 20
+    rows += [(1000 + k, f"text {k // 3}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = [Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.shard(df.repartition(n)).collect()) for n in (1, 8)]
+    assert placed[0] == placed[1]
+
+
+def test_what_a_bound_of_rounds_costs(spark):
+    """Linked rows apart from their group's largest part, by bound."""
+    rows = [(k, f"group {k // 4}") for k in range(800)] + [(1000 + k, f"single {k}") for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def apart(rounds):
+        groups = defaultdict(Counter)
+        for r in sharding.shard(df, rounds=rounds).collect():
+            groups[r.text_crc32][r.shard] += 1
+        return sum(sum(g.values()) - max(g.values()) for g in groups.values())
+    start, one, settled = apart(0), apart(1), apart(None)
+    assert settled <= one < start and settled <= 8
