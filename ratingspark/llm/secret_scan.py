@@ -38,8 +38,9 @@ SENSITIVE = r"(?:pass(?:word|wd|phrase)?|secret|token|api_?key|auth|bearer|crede
 #: Long tokens that hold the word itself.
 HOLDING = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 RUN = r"[^\s\"'`]+"
-#: The end of a word or an assignment before a run, and signs of the sentence around it.
-LEAD = re.compile(rf"(?:\w*?{SENSITIVE}\w*[:=]+|[:=>,;)\]}}(\[{{])+", re.IGNORECASE | re.ASCII)
+#: A word before an assignment at the start of a run, and signs of the sentence around a run.
+WORD, ASSIGNED = re.compile(SENSITIVE, re.IGNORECASE | re.ASCII), re.compile(r"(\w++)[:=]++", re.ASCII)
+SIGNS = ":=>,;)]}([{"
 TRAIL = ".,;:)]}>"
 LEAST_RUN, SHORT = 8, 16
 REACH, AROUND = 40, 160
@@ -60,11 +61,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def lead_end(text: str, start: int, end: int) -> int:
+    """Where a run's content starts: behind signs, and behind words that are
+    sensitive and assigned to."""
+    while start < end:
+        if text[start] in SIGNS:
+            start += 1
+            continue
+        word = ASSIGNED.match(text, start, end)
+        if not word or not WORD.search(text, start, word.end(1)):
+            break
+        start = word.end()
+    return start
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans that begin within reach after a sensitive word, none within another."""
     out: list[tuple[int, int]] = []
     run, holding = re.compile(RUN), re.compile(HOLDING)
-    run_end = holding_end = 0
+    run_end = holding_end = at = 0
     for word in re.finditer(SENSITIVE, text, re.IGNORECASE | re.ASCII):
         reach = word.end() + REACH
         # the search ends where a match can no longer begin within reach, the match does not
@@ -72,14 +87,13 @@ def candidates(text: str) -> list[tuple[int, int]]:
             m = holding.match(text, m.start())
             out.append(m.span())
             holding_end = m.end()
-        at = word.end()
+        at = max(at, word.end())  # behind the letters of a word that goes on over this one
         while at < len(text) and "a" <= text[at] <= "z":  # the word goes on, as in "authentication"
             at += 1
         while m := run.search(text, max(at, run_end), reach + 1):
             m = run.match(text, m.start())
             run_end = m.end()
-            lead = LEAD.match(text, m.start(), m.end())
-            start = lead.end() if lead else m.start()
+            start = lead_end(text, *m.span())
             end = start + len(text[start:m.end()].rstrip(TRAIL))
             if end - start >= LEAST_RUN:
                 out.append((start, end))

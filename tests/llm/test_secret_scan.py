@@ -81,3 +81,20 @@ def test_edge_rows(edge_docs, no_docs):
     got = ss.span_digests(edge_docs).collect()
     assert len(got) == 12 and all(r.n_assign == r.n_access == r.n_hex == 0 for r in got)
     assert ss.span_digests(no_docs).count() == 0
+
+
+def test_linear_on_long_runs():
+    """A megabyte of every sensitive word and sign, in a few seconds each."""
+    import time
+    for piece in ["password", "passphrase", "secret", "token", "api_key", "apikey", "auth", "bearer", "credential", "private", "akia",
+                  "AKIA", "access_key", "secret=", "secret:", "=", ":", "secret ", "token\n", "0123abcd", "a_", "("]:
+        began = time.time()
+        ss.candidates(piece * (1_000_000 // len(piece)) + " x")
+        ss.base_spans(piece * (1_000_000 // len(piece)) + " x")
+        assert time.time() - began < 20, piece
+
+
+def test_lead_of_a_run():
+    for run, content in [("secret=abc", "abc"), ("my_token::x", "x"), ("(password=)x", "x"), ("plain=abc", "plain=abc"), ("=:secret", "secret"),
+                         ("secretsecret", "secretsecret"), ("a=secret=b", "a=secret=b"), ("Auth:Secret=b", "b"), ("secret=", "")]:
+        assert run[ss.lead_end(run, 0, len(run)):] == content
