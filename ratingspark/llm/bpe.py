@@ -27,11 +27,11 @@ from pyspark.sql import types as T
 
 from ratingspark.llm.common import bounded_batches, released
 
-BLOCK = 300_000
+BLOCK = 100_000
 #: Pairs of tokens whose neighbourhood a task remembers at most.
-HELD_PAIRS = 300_000
+HELD_PAIRS = 150_000
 #: Rows that are encoded together, so that their words share one trie.
-ROWS = 400
+ROWS = 200
 #: Distinct words whose encodings a task holds at most, but for those of one block.
 HELD_WORDS = 150_000
 

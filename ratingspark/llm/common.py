@@ -3,6 +3,7 @@ cluster's shared folder and column helpers."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -37,15 +38,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows that travel to a Python worker at once, unless the session says otherwise.
-BATCH_ROWS = 1000
+BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows and bytes that travel to a Python worker at once, unless the session says otherwise.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Whole texts are far larger than Spark's default of 10,000 rows a batch
-    allows for; sets a smaller number in sessions that have not set their own."""
+    allows for; bounds rows and bytes in sessions that have not set their own."""
     if spark.conf.get(ROWS_KEY, None) is None:
         spark.conf.set(ROWS_KEY, str(BATCH_ROWS))
+    if int(spark.conf.get(BYTES_KEY, None) or -1) in (-1, 2**63 - 1, 2**31 - 1):
+        spark.conf.set(BYTES_KEY, str(BATCH_BYTES))
 
 
 def splitmix(c: Column, salt: int) -> Column:
@@ -53,13 +57,21 @@ def splitmix(c: Column, salt: int) -> Column:
     return F.xxhash64(c, F.lit(salt))
 
 
+def give_back() -> None:
+    """Gives the memory that this Python worker no longer uses back to the
+    system: Spark keeps the worker for the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def released(run):
-    """A batch function that at its end gives the memory it no longer uses back
-    to the system: Spark keeps its worker for the stages that follow."""
+    """A batch function that gives back memory at its end."""
     def wrapped(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
     return wrapped
 
 

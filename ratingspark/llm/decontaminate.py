@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import bounded_batches, written
+from ratingspark.llm.common import bounded_batches, give_back, released, written
 from ratingspark.llm.shingles import U64, mix, word_hashes
 
 WINDOW, STEP = 32, 16
@@ -117,7 +117,7 @@ def document_frequency(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "n"])
 
-    rows = (docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "term long, n long")
+    rows = (docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(released(count), "term long, n long")
             .groupBy("term").agg(F.sum("n").alias("n")).collect())  # one row per benchmark term
     total = np.zeros(len(vocabulary) + 1, dtype=np.int64)
     for r in rows:
@@ -359,6 +359,7 @@ def _searcher(shared):
         find, masks = Lookup(block.vocabulary), {}
         for part in texts:
             yield pd.Series([block.leaks(t, find, masks) for t in part])
+        give_back()
 
     return search
 

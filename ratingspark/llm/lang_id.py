@@ -23,6 +23,7 @@ pieces of ``PIECE`` letters."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import bounded_batches, written
+from ratingspark.llm.common import bounded_batches, give_back, written
 
 DIMENSIONS = 4096
 #: Training rows of each label, about: the documented bound of the fit.
@@ -227,9 +228,11 @@ def identify(docs: DataFrame, machines: Machines, text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(machines)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
+    def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        for part in texts:
+            yield pd.DataFrame([model.predict(t) for t in part], columns=["lang_pred", "score"])
+        give_back()
 
     others = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return (docs.select(*[F.col(f"`{c}`") for c in others], predicted(F.col(f"`{text_col}`")).alias("found in text"))
