@@ -27,13 +27,15 @@ from pyspark.sql import types as T
 
 from ratingspark.llm.common import bounded_batches, released
 
-BLOCK = 100_000
+BLOCK = 60_000
 #: Pairs of tokens whose neighbourhood a task remembers at most.
-HELD_PAIRS = 150_000
+HELD_PAIRS = 80_000
+#: Tokens whose outer parts a task remembers at most.
+HELD_ENDS = 20_000
 #: Rows that are encoded together, so that their words share one trie.
 ROWS = 200
 #: Distinct words whose encodings a task holds at most, but for those of one block.
-HELD_WORDS = 150_000
+HELD_WORDS = 80_000
 
 #: Fixed value: the published pre-tokenizer pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -91,6 +93,8 @@ class Vocabulary:
             while part in self.made:
                 out.append((self.made[part][0], part))
                 part = self.made[part][side]
+            if len(self.ends) >= HELD_ENDS:
+                self.ends.clear()
             out = self.ends[token, side] = [*out, (-1, part)][::-1]
         return out
 

@@ -12,6 +12,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -37,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of rows of the driver. They go as Arrow: as pickled rows they
+    would start a second pool of Python workers on every executor."""
+    struct = T.StructType.fromDDL(schema)
+    names = struct.fieldNames()
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r)) for r in rows], to_arrow_schema(struct)), struct)
+
+
 ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Rows and bytes that travel to a Python worker at once, unless the session says otherwise.

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import bounded_batches, give_back, released, written
+from ratingspark.llm.common import bounded_batches, give_back, local_table, released, written
 from ratingspark.llm.shingles import U64, mix, word_hashes
 
 WINDOW, STEP = 32, 16
@@ -175,7 +175,7 @@ def randomised_svd(passages: DataFrame, rank: int, oversample: int = OVERSAMPLE)
         return run
 
     def summed(df: DataFrame, column: int) -> np.ndarray:
-        parts = df.mapInArrow(gram(column), "i long, v array<double>")
+        parts = df.mapInArrow(released(gram(column)), "i long, v array<double>")
         cells = parts.select("i", F.posexplode("v").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
         out = np.zeros((width, width))
         for r in cells.collect():
@@ -183,8 +183,8 @@ def randomised_svd(passages: DataFrame, rank: int, oversample: int = OVERSAMPLE)
         return out
 
     # every task that adds up holds the vectors of its own terms
-    y = written(passages.select("terms", "weights").mapInArrow(spread, "term long, y array<double>")
-                .repartition("term").mapInArrow(add, "term long, y array<double>"), "sketch")
+    y = written(passages.select("terms", "weights").mapInArrow(released(spread), "term long, y array<double>")
+                .repartition("term").mapInArrow(released(add), "term long, y array<double>"), "sketch")
     values, turn = np.linalg.eigh(summed(y, 1))
     use = values > max(values.max(), 0) * 1e-10 if len(values) else values > 0
     ortho = turn[:, use] / np.sqrt(values[use])
@@ -204,7 +204,8 @@ def randomised_svd(passages: DataFrame, rank: int, oversample: int = OVERSAMPLE)
                 rows.append(z)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["z"])
 
-    small = summed(passages.select("terms", "weights").mapInArrow(project, "z array<double>"), 0)
+    # written in between: two Python steps of one task would need two workers
+    small = summed(written(passages.select("terms", "weights").mapInArrow(released(project), "z array<double>"), "projected"), 0)
     size = int(use.sum())
     _, vectors = np.linalg.eigh(small[:size, :size])
     best = vectors[:, ::-1][:, :rank]
@@ -347,7 +348,7 @@ def fit_block(docs: DataFrame, text_col: str, items: list[tuple[int, str]], rank
     block = Block(items, vocabulary, *document_frequency(docs, text_col, vocabulary))
     parts = [(vocabulary[terms].view(np.int64).tolist(), weights.tolist()) for _, terms, weights in block.item_passages()]
     if parts:
-        passages = written(spark.createDataFrame(parts, "terms array<long>, weights array<double>"), "passages")
+        passages = written(local_table(spark, parts, "terms array<long>, weights array<double>"), "passages")
         block.set_basis(randomised_svd(passages, rank))
     return block
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingspark.llm.common import bounded_batches, give_back, written
+from ratingspark.llm.common import bounded_batches, give_back, local_table, written
 
 DIMENSIONS = 4096
 #: Training rows of each label, about: the documented bound of the fit.
@@ -186,8 +186,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             side = label if name.startswith("label") else family_of(label)
             if side in (a, b):
                 uses[label].append((name, 1.0 if side == a else -1.0))
-    table = docs.sparkSession.createDataFrame(
-        [(label, name, y) for label, of in uses.items() for name, y in of], "lang string, machine string, y double")
+    table = local_table(docs.sparkSession, [
+        (label, name, y) for label, of in uses.items() for name, y in of], "lang string, machine string, y double")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         w, a, b = fit_svm(np.stack(rows["x"].to_numpy()).astype(np.float32), rows["y"].to_numpy(np.float32))
