@@ -879,6 +879,7 @@ LOO_CV_THRESHOLD = 50
 MIN_LOCAL_FOR_FINETUNE = 10
 FINETUNE_LOCAL_WEIGHT = 5.0
 FINETUNE_EXTRA_TREES = 100
+FINETUNE_RATE_FACTOR = 0.3
 FINETUNE_EXTRA_ROUNDS_BOOSTED = 50
 FINETUNE_EXTRA_ROUNDS_GB = 50
 FOREST_PARAMS = {"n_trees": 300, "max_depth": 10, "min_samples_split": 5}
