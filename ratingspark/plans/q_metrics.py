@@ -268,9 +268,12 @@ def x9_j3_sector_lookup(spark, sf):
 
 
 @register("j7_s5_pending_ingest", sql=W() + """
-SELECT f.ticker FROM firm f WHERE NOT EXISTS (SELECT 1 FROM firm_year y WHERE y.firm_id = f.firm_id)""")
+SELECT f.ticker, CAST(m.period AS BIGINT) AS period FROM firm f CROSS JOIN (SELECT max(period) AS period FROM firm_year) m
+WHERE NOT EXISTS (SELECT 1 FROM firm_year y WHERE y.firm_id = f.firm_id AND y.period = m.period)""")
 def j7_s5_pending_ingest(spark, sf):
-    """Listed firms with no landed statements yet: the work list of the
-    per-key cached ingest (anti-join against what is already stored)."""
-    done = b.firm_year(spark, sf).select("firm_id").distinct()
-    return b.firm(spark, sf).join(done, "firm_id", "left_anti").select("ticker")
+    """Listed firms whose statements of the newest year have not landed yet: the
+    work list of the per-key cached ingest (anti-join against what is stored)."""
+    landed = materialize(b.firm_year(spark, sf).select("firm_id", "period"), "landed")
+    newest = F.broadcast(landed.agg(F.max("period").alias("period")))  # one-row table
+    wanted = b.firm(spark, sf).select("firm_id", "ticker").crossJoin(newest)
+    return wanted.join(landed, ["firm_id", "period"], "left_anti").select("ticker", "period")

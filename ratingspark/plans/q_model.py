@@ -14,7 +14,7 @@ from ratingspark.operators.fundamentals import materialize
 from ratingspark.plans import sql_model as sm
 from ratingspark.plans.registry import register
 from ratingspark.plans.sql_bindings import q
-from ratingspark.plans.sql_firms import FEATURES, firm_ctes, fold_sql, ordinal_sql
+from ratingspark.plans.sql_firms import FEATURES, current_sql, firm_ctes, fold_sql, ordinal_sql
 from ratingspark.sources import bindings as b
 from ratingspark.sources import firms as fr
 
@@ -57,6 +57,16 @@ def train_test(spark, sf):
     return materialize(train), pred
 
 
+def current_feats(spark, sf):
+    """Feature rows of which some firms are unrated: their newest grade is too old."""
+    return materialize(fr.current_rows(spark, sf, feats(spark, sf)), "current")
+
+
+def current_train_test(spark, sf):
+    train, pred = mg.merge(current_feats(spark, sf))
+    return materialize(train), materialize(pred, "predict")
+
+
 def cleaned(spark, sf):
     train, _ = train_test(spark, sf)
     return materialize(cl.clean(train, tiebreak="copy_no"))
@@ -67,6 +77,8 @@ def engineered(spark, sf):
 
 
 MERGE = sm.merge_sql().strip()
+CURRENT = current_sql(fr.RATING_MAX_AGE).strip()
+MERGE_NOW = CURRENT + ",\n" + sm.merge_sql("feats_now").strip()
 CLEAN = sm.clean_sql("train_merged", "train_clean", TRAIN_COLS)
 ENG = sm.engineer_sql("train_clean", "train_eng", TRAIN_COLS, SECTORS)
 DBL = set(FEATURES) | {f"{f}_ref_ratio" for f in sm.MERGE_RATIO}
@@ -220,10 +232,10 @@ def n1_reference_ratio(spark, sf):
 
 
 # ---------------------------------------------------------------- C3, W4, U1/U2
-@register("c3_split_rated", sql=W(MERGE) + """
+@register("c3_split_rated", sql=W(MERGE_NOW) + """
 SELECT ticker, 'rated' AS split FROM rated_local UNION ALL SELECT ticker, 'unrated' FROM unrated_local""")
 def c3_split_rated(spark, sf):
-    local = feats(spark, sf).filter(F.col("data_source") == "vietnam")
+    local = current_feats(spark, sf).filter(F.col("data_source") == "vietnam")
     rated, unrated = mg.split_local(local)
     return rated.select("ticker", F.lit("rated").alias("split")).unionByName(
         unrated.select("ticker", F.lit("unrated").alias("split")))
@@ -243,12 +255,43 @@ def u2_merge_train(spark, sf):
     return train.select(*TRAIN_COLS)
 
 
-@register("u2_merge_predict", sql=W(MERGE) + f"\nSELECT {rsel(TRAIN_COLS[:5] + TRAIN_COLS[6:], DBL)} FROM predict_merged")
+@register("u2_merge_predict", sql=W(MERGE_NOW) + f"\nSELECT {rsel(TRAIN_COLS[:5] + TRAIN_COLS[6:], DBL)} FROM predict_merged")
 def u2_merge_predict(spark, sf):
-    _, pred = train_test(spark, sf)
+    """The local firms without a recent grade: the scoring half of the merge."""
+    _, pred = current_train_test(spark, sf)
     return pred.select(*[c for c in TRAIN_COLS if c != "copy_no"])
 
 
+_GRADED = f"(SELECT *, {fold_sql('raw_rating')} AS credit_rating FROM rating_event)"
+
+
+@register("asof_yearly_rating", sql=W() + f"""
+SELECT ticker, CAST(period AS BIGINT) AS period, CAST(event_id AS VARCHAR) AS event_id,
+       CAST(rated_on AS VARCHAR) AS rated_on, credit_rating
+FROM (SELECT f.ticker, y.period, e.event_id, CAST(e.rated_on AS DATE) AS rated_on, e.credit_rating, row_number() OVER (
+        PARTITION BY f.ticker, y.period ORDER BY e.rated_on DESC NULLS LAST, e.event_id DESC) AS rn
+      FROM firm_year y JOIN firm f ON f.firm_id = y.firm_id
+      LEFT JOIN {_GRADED} e ON e.ticker = f.ticker
+        AND date_diff('day', CAST(e.rated_on AS DATE), make_date(y.period, 6, 30)) BETWEEN 0 AND {fr.RATING_MAX_AGE}) t
+WHERE rn = 1""")
+def asof_yearly_rating(spark, sf):
+    """As-of join: the observation that rated each firm in the middle of each
+    of its years, at most a year old."""
+    found = fr.yearly_ratings(spark, sf)
+    return found.withColumns({c: F.col(c).cast("string") for c in ("event_id", "rated_on")})
+
+
+@register("q11_scoring_rows", sql=W(MERGE_NOW, CLEAN, sm.fitted_clean_sql(
+        "train_clean", "predict_merged", "score_rows", [c for c in TRAIN_COLS if c != "copy_no"])) +
+          f"\nSELECT {rsel([c for c in TRAIN_COLS if c != 'copy_no'], DBL)} FROM score_rows")
+def q11_scoring_rows(spark, sf):
+    """The scoring set as the classifier gets it: the unrated firms, cleaned
+    with the statistics of the training rows alone."""
+    train, pred = current_train_test(spark, sf)
+    model, _ = cl.fitted_clean(train, tiebreak="copy_no")
+    return model.transform(pred).select(*[c for c in TRAIN_COLS if c != "copy_no"])
+
+
 # ---------------------------------------------------------------- A2, I4
 @register("a2_dedup_source_priority", sql=W(MERGE, sm.dedup_sql("train_merged", "dd")) +
           f"\nSELECT {rsel(TRAIN_COLS, DBL, {'copy_no'})} FROM dd")

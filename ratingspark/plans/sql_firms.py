@@ -94,6 +94,18 @@ feats AS (
 )"""
 
 
+def current_sql(max_age: int) -> str:
+    """CTE ``feats_now``: the feature rows with the newest grade, if it is
+    recent enough on the day of the newest observation of all."""
+    return f"""
+feats_now AS (
+  SELECT f.* REPLACE (r.credit_rating AS credit_rating, r.credit_rating IS NOT NULL AS has_rating)
+  FROM feats f LEFT JOIN (
+    SELECT l.ticker, l.credit_rating FROM latest_rating l CROSS JOIN (SELECT max(rated_on) AS today FROM rating_event) t
+    WHERE date_diff('day', CAST(l.rated_on AS DATE), CAST(today AS DATE)) <= {max_age}) r ON r.ticker = f.ticker
+)"""
+
+
 def firm_ctes(*extra: str) -> str:
     """Base CTEs plus latest_rating, rating_pair and feats."""
     return ",\n".join([base_ctes("firm", "firm_year", "rating_event"), LATEST_RATING.strip(),

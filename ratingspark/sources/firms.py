@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ratingspark.functions import fixed_values as fv
 from ratingspark.functions.scalars import fold_grade, safe_div
+from ratingspark.operators.asof import asof_latest
 from ratingspark.operators.items import yoy_growth
 from ratingspark.sources import bindings as b
 
@@ -45,6 +46,33 @@ def latest_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
                          fold_grade(F.col("raw_rating"), "drop").alias("credit_rating"))
 
 
+#: Days after which an observation no longer rates a firm.
+RATING_MAX_AGE = 365
+
+
+def current_rows(spark: SparkSession, sf_dir: str, feats: DataFrame, max_age: int = RATING_MAX_AGE) -> DataFrame:
+    """``feats`` as of the day of the newest observation of all: a firm is rated
+    by its newest observation if that is at most ``max_age`` days old and its
+    grade is on the scale; the other firms are to be scored."""
+    ev = b.rating_event(spark, sf_dir)
+    today = ev.agg(F.max("rated_on").alias("_today"))
+    graded = ev.withColumn("credit_rating", fold_grade(F.col("raw_rating"), "drop"))
+    rows = feats.crossJoin(F.broadcast(today))  # one-row table
+    out = asof_latest(rows, graded, "ticker", "_today", "rated_on", "event_id", ["credit_rating"], max_age)
+    return out.withColumn("has_rating", F.col("credit_rating").isNotNull()).select(*feats.columns)
+
+
+def yearly_ratings(spark: SparkSession, sf_dir: str, max_age: int = RATING_MAX_AGE) -> DataFrame:
+    """(ticker, period, event_id, rated_on, credit_rating): what rated a firm in
+    the middle of each year it has statements for, null if nothing did."""
+    firms = b.firm(spark, sf_dir).select("firm_id", "ticker")
+    years = b.firm_year(spark, sf_dir).select("firm_id", "period").join(firms, "firm_id").select(
+        "ticker", "period", F.make_date(F.col("period").cast("int"), F.lit(6), F.lit(30)).alias("_at"))
+    graded = b.rating_event(spark, sf_dir).withColumn("credit_rating", fold_grade(F.col("raw_rating"), "drop"))
+    return asof_latest(years, graded, "ticker", "_at", "rated_on", "event_id", ["event_id", "rated_on", "credit_rating"],
+                       max_age).drop("_at")
+
+
 def rating_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per firm: latest folded grade (truth) and the grade before it
     (prediction) — a model-free prediction/truth pair for the metrics.
