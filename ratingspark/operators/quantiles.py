@@ -10,13 +10,19 @@
    group, are ranked; the two values around the wanted position interpolate.
 
 The result does not depend on the sketch's error, which only sets how many
-values step 3 ranks."""
+values step 3 ranks. The brackets, one row for each group, column and quantile,
+are sent to the values as long as they are few; the values then stay where they
+are. With more groups both sides meet by group and column."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratingspark.session import materialize
+
+#: Brackets that may be broadcast, some 100 bytes each.
+FEW_BRACKETS = 100_000
 #: Accuracy of the sketch: its ranks are off by n / ACCURACY at most.
 ACCURACY = 10_000
 
@@ -35,13 +41,17 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     reach = 2 / ACCURACY
     ends = [x for p in probabilities for x in (max(0.0, p - reach), min(1.0, p + reach))]
     sketch = values.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", ends, ACCURACY).alias("ends"))
+    few = True  # one row a column without groups
+    if by:
+        sketch = materialize(sketch, "sketch")
+        few = sketch.count() * len(probabilities) <= FEW_BRACKETS
     brackets = sketch.select(*key, "n", F.explode(F.array(*[
         F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p"), F.col("ends")[2 * k].alias("low"),
                  F.col("ends")[2 * k + 1].alias("high")) for k, p in enumerate(probabilities)])).alias("b")).select(
         *key, "n", "b.*")
     # -1 below, 0 inside, 1 above; outside the bracket only the nearest value matters
     side = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
-    counted = (values.join(brackets, key).withColumn("side", side)
+    counted = (values.join(F.broadcast(brackets) if few else brackets, key).withColumn("side", side)
                .groupBy(*key, "k", "p", "n", "side", F.when(F.col("side") == 0, F.col("v")).alias("inside"))
                .agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("least"), F.max("v").alias("most")))
     ordered = Window.partitionBy(*key, "k").orderBy("side", "inside")

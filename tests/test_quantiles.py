@@ -44,3 +44,18 @@ def test_wide_form_of_an_empty_table(spark):
     row = qt.wide_quantiles(df, {"m": ("a", 0.5)}, counts={"n": "a"}).collect()
     assert [(r.m, r.n) for r in row] == [(None, 0)]
     assert qt.wide_quantiles(df, {"m": ("a", 0.5)}, "g").count() == 0
+
+
+def test_few_and_many_brackets_agree(spark, monkeypatch):
+    """Brackets sent to the values, or met by group and column: equal results;
+    sent ones leave the values where they are."""
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select((F.col("id") % 7).cast("string").alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("a"),
+                                  F.when(F.col("id") % 3 == 0, F.col("id")).alias("b"))
+    get = lambda: sorted(map(tuple, qt.exact_quantiles(df, ["a", "b"], [0.1, 0.5], "g").collect()))
+    few = qt.exact_quantiles(df, ["a", "b"], [0.1, 0.5], "g")
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    first = get()
+    monkeypatch.setattr(qt, "FEW_BRACKETS", 0)
+    monkeypatch.setattr(qt.F, "broadcast", lambda x: pytest.fail("hinted"))
+    assert get() == first and len(first) == 28
