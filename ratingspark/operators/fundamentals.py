@@ -21,6 +21,24 @@ from ratingspark.session import materialize
 
 FEATURE_COLS = list(fv.FEATURE_NAMES.values())
 
+# Paths of each fallback chain, in the order in which they are tried; a firm for
+# which none fires counts as ``none``.
+CHAIN_PATHS = {
+    "ebit": ["direct", "pbt_plus_interest", "gross_minus_opex", "ni_plus_interest", "net_income",
+             "bank_operating_profit", "bank_net_interest_income"],
+    "roce": ["ratio_table", "assets_less_liabilities", "alt_names", "equity_plus_debt", "assets_proxy"],
+    "current_ratio": ["loans_to_deposits", "liquid_to_deposits", "bank_default", "ca_cl", "alt_names",
+                      "assets_less_long_term", "liabilities_less_long_debt", "ratio_table", "liabilities_proxy"],
+    "revenue": ["bank_income_lines", "bank_operating_income", "reported"],
+    "liabilities": ["reported", "assets_less_equity"],
+    "roa": ["statements", "ratio_table"],
+    "roe": ["statements", "ratio_table"],
+    "ebit_margin": ["ratio_percent", "ratio_fraction", "ebit_over_revenue", "bank_interest_over_assets"],
+    "net_debt": ["bank_interest_over_assets", "net_debt_over_ebitda"],
+    "growth": ["ratio_table", "bank_interest_ratio", "bank_operating_ratio", "periods"],
+    "depreciation": ["cash_flow", "income"],
+}
+
 
 def _truthy(c: Column) -> Column:
     return c.isNotNull() & (c != 0)
@@ -51,11 +69,12 @@ def resolved_values_a(items: DataFrame) -> DataFrame:
     return materialize(tickers.join(_pivot(vals, names), "ticker", "left"))
 
 
-def adapter_features(items: DataFrame, firms: DataFrame, gate: bool = True) -> DataFrame:
+def adapter_features(items: DataFrame, firms: DataFrame, gate: bool = True, paths: bool = False) -> DataFrame:
     """The full adapter feature row per ticker, audit columns and the
     completeness gate C4 (drop when more than 7 of the 14 required features
     are missing). ``firms`` supplies (ticker, sector text, company_name,
-    exchange).
+    exchange). With ``paths`` each chain of ``CHAIN_PATHS`` also tells the path
+    that fired (column ``_<chain>_path``, null where none did).
 
     Written as three projections (inputs -> intermediate amounts -> ratios) so
     each intermediate is computed once; a single nested expression would
@@ -145,53 +164,72 @@ def adapter_features(items: DataFrame, firms: DataFrame, gate: bool = True) -> D
     ebitda = F.when(ebit.isNotNull(), ebit + F.col("dep"))
     roce_direct, cl_alt_roce = g("rt_roce_direct"), g("bs_short_term_liabilities_alt_roce")
     # ROCE
-    roce = (F.when(roce_direct.isNotNull(), roce_direct / 100.0)
-            .when(ebit.isNull(), F.lit(None))
-            .when(ta.isNotNull() & cl.isNotNull() & ((ta - cl) > 0), safe_div(ebit, ta - cl))
-            .when(ta.isNotNull() & cl_alt_roce.isNotNull() & ((ta - cl_alt_roce) > 0),
-                  safe_div(ebit, ta - cl_alt_roce))
-            .when(te.isNotNull() & ((te + ltd) > 0), safe_div(ebit, te + ltd))
-            .when(ta > 0, safe_div(ebit, ta * 0.6)))
+    roce = [
+        (roce_direct.isNotNull(), roce_direct / 100.0, "ratio_table"),
+        (ebit.isNull(), F.lit(None), None),
+        (ta.isNotNull() & cl.isNotNull() & ((ta - cl) > 0), safe_div(ebit, ta - cl), "assets_less_liabilities"),
+        (ta.isNotNull() & cl_alt_roce.isNotNull() & ((ta - cl_alt_roce) > 0),
+         safe_div(ebit, ta - cl_alt_roce), "alt_names"),
+        (te.isNotNull() & ((te + ltd) > 0), safe_div(ebit, te + ltd), "equity_plus_debt"),
+        (ta > 0, safe_div(ebit, ta * 0.6), "assets_proxy"),
+    ]
     # EBIT margin
     em = g("rt_ebit_margin_direct")
-    ebit_margin = F.coalesce(
-        F.when(em.isNotNull(), F.when(F.abs(em) > 1.0, em / 100.0).otherwise(em)),
-        F.when(_truthy(rev) & (F.abs(rev) > 1e-9) & ebit.isNotNull(), safe_div(ebit, rev)),
-        F.when(is_bank & _truthy(nii) & _truthy(ta), safe_div(nii, ta)),
-    )
+    ebit_margin = [
+        (F.when(F.abs(em) > 1.0, em / 100.0), "ratio_percent"),
+        (em, "ratio_fraction"),
+        (F.when(_truthy(rev) & (F.abs(rev) > 1e-9) & ebit.isNotNull(), safe_div(ebit, rev)), "ebit_over_revenue"),
+        (F.when(is_bank & _truthy(nii) & _truthy(ta), safe_div(nii, ta)), "bank_interest_over_assets"),
+    ]
     # Banks replace net debt / EBITDA by NII / TA
-    nim = safe_div(nii, ta)
-    nd_ebitda = (F.when(is_bank & _truthy(nii) & _truthy(ta) & nim.isNotNull(), nim)
-                 .otherwise(safe_div(total_debt - F.col("cash"), ebitda)))
+    nd_ebitda = [
+        (F.when(is_bank & _truthy(nii) & _truthy(ta), safe_div(nii, ta)), "bank_interest_over_assets"),
+        (safe_div(total_debt - F.col("cash"), ebitda), "net_debt_over_ebitda"),
+    ]
     ca_res, cl_res = F.col("_cr.ca"), F.col("_cr.cl")
     # Revenue growth: ratio % -> bank proxies -> W2 on the revenue line
     rg, bg1, bg2 = g("rt_revenue_growth_pct"), g("rt_bank_growth_nii"), g("rt_bank_growth_opp")
-    growth = F.coalesce(
-        F.when(rg.isNotNull(), it.clip(rg / 100.0, -0.9, 5.0)),
-        F.when(is_bank & bg1.isNotNull(), it.clip(bg1 / 100.0, -0.9, 5.0)),
-        F.when(is_bank & bg2.isNotNull(), it.clip(bg2 / 100.0, -0.9, 5.0)),
-        it.yoy_growth(F.col("is_revenue_0"), F.col("is_revenue_1")),
-    )
+    growth = [
+        (F.when(rg.isNotNull(), it.clip(rg / 100.0, -0.9, 5.0)), "ratio_table"),
+        (F.when(is_bank & bg1.isNotNull(), it.clip(bg1 / 100.0, -0.9, 5.0)), "bank_interest_ratio"),
+        (F.when(is_bank & bg2.isNotNull(), it.clip(bg2 / 100.0, -0.9, 5.0)), "bank_operating_ratio"),
+        (it.yoy_growth(F.col("is_revenue_0"), F.col("is_revenue_1")), "periods"),
+    ]
+    # Zero or null ratio -> ratio table / 100
+    roa = [(_nz(safe_div(ni, ta)), "statements"), (g("rt_roa") / 100.0, "ratio_table")]
+    roe = [(_nz(safe_div(ni, te)), "statements"), (g("rt_roe") / 100.0, "ratio_table")]
     feats = {
-        # Zero or null ratio -> ratio table / 100
-        "roa": F.coalesce(_nz(safe_div(ni, ta)), g("rt_roa") / 100.0),
-        "roe": F.coalesce(_nz(safe_div(ni, te)), g("rt_roe") / 100.0),
-        "roce": roce,
-        "ebit_margin": ebit_margin,
+        "roa": _first_value(roa),
+        "roe": _first_value(roe),
+        "roce": _chain([(c, e) for c, e, _ in roce]),
+        "ebit_margin": _first_value(ebit_margin),
         "current_ratio": F.col("_cr.ratio"),
         # D9
         "debt_to_assets": safe_div(tl, ta),
         "debt_to_equity": safe_div(tl, te),
-        "net_debt_to_ebitda": nd_ebitda,
+        "net_debt_to_ebitda": _first_value(nd_ebitda),
         # D11, D12
         "asset_turnover": safe_div(rev, ta),
         "wcta": F.when(ca_res.isNotNull() & cl_res.isNotNull() & _truthy(ta), safe_div(ca_res - cl_res, ta)),
         "reta": safe_div(g("bs_retained_earnings"), ta),
         "market_to_book": g("rt_price_to_book"),
-        "revenue_growth_yoy": growth,
+        "revenue_growth_yoy": _first_value(growth),
         "log_revenue": F.when(_truthy(rev), F.log1p(F.abs(rev))),
         "market_cap": F.coalesce(g("rt_market_cap"), F.lit(0.0)),
     }
+    tags = {}
+    if paths:
+        tags = {
+            "roce": _chain([(c, F.lit(n)) for c, _, n in roce]),
+            "revenue": F.when(is_bank & F.col("_rev_missing") & (F.col("_total_income") > 0), "bank_income_lines")
+            .when(is_bank & F.col("_rev_missing") & (toi > 0), "bank_operating_income")
+            .when(rev_in.isNotNull(), "reported"),
+            "liabilities": F.when(tl0.isNotNull(), "reported").when(tl.isNotNull(), "assets_less_equity"),
+            "roa": _first_path(roa), "roe": _first_path(roe), "ebit_margin": _first_path(ebit_margin),
+            "net_debt": _first_path(nd_ebitda), "growth": _first_path(growth),
+            "depreciation": _first_path([(_nz(g("cf_depreciation")), "cash_flow"),
+                                         (_nz(g("is_depreciation")), "income")]),
+        }
     out = s3.select(
         "ticker", "sector",
         F.coalesce(F.col("company_name"), F.col("ticker")).alias("company_name"),
@@ -201,6 +239,7 @@ def adapter_features(items: DataFrame, firms: DataFrame, gate: bool = True) -> D
         ta.alias("_total_assets"), te.alias("_total_equity"), total_debt.alias("_total_debt"),
         ca.alias("_current_assets"), cl.alias("_current_liabilities"), "_is_bank",
         "_ebit_path", F.col("_cr.path").alias("_current_ratio_path"),
+        *[tag.alias(f"_{chain}_path") for chain, tag in tags.items()],
     )
     required = [fv.FEATURE_NAMES[f] for f in fv.REQUIRED_FEATURES]
     n_missing = sum((F.col(c).isNull().cast("int") for c in required[1:]),
@@ -211,6 +250,31 @@ def adapter_features(items: DataFrame, firms: DataFrame, gate: bool = True) -> D
     return out
 
 
+def path_coverage(features: DataFrame) -> DataFrame:
+    """Firms by the path that each chain took: (chain, path, n_firms, n_banks), a row
+    for every path of ``CHAIN_PATHS`` and for ``none``, with zeros where no firm took
+    it. ``features`` are rows of ``adapter_features`` with ``paths``; the tags combine
+    before the shuffle to one row a path and partition."""
+    cols = {chain: f"_{chain}_path" for chain in CHAIN_PATHS}
+    taken = (features.select("_is_bank", *[F.coalesce(F.col(c), F.lit("none")).alias(chain) for chain, c in cols.items()])
+             .unpivot(["_is_bank"], list(cols), "chain", "path")
+             .groupBy("chain", "path")
+             .agg(F.count("*").alias("n"), F.count_if("_is_bank").alias("banks")))
+    every = features.sparkSession.createDataFrame(
+        [(chain, path) for chain, tags in CHAIN_PATHS.items() for path in [*tags, "none"]],
+        "chain string, path string")
+    return every.join(taken, ["chain", "path"], "left").select(
+        "chain", "path", F.coalesce("n", F.lit(0)).alias("n_firms"), F.coalesce("banks", F.lit(0)).alias("n_banks"))
+
+
+def _first_value(options: list[tuple[Column, str]]) -> Column:
+    return F.coalesce(*[value for value, _ in options])
+
+
+def _first_path(options: list[tuple[Column, str]]) -> Column:
+    return _chain([(value.isNotNull(), F.lit(name)) for value, name in options])
+
+
 def _chain(pairs: list[tuple[Column, Column]]) -> Column:
     expr = None
     for cond, val in pairs:

@@ -13,6 +13,7 @@ from ratingspark.plans import sql_features as sfe
 from ratingspark.plans.registry import register, select_sql
 from ratingspark.sources import bindings as b
 from ratingspark.sources import ingest
+from ratingspark.sources import vocabularies
 
 FEATS = list(fv.FEATURE_NAMES.values())
 AUDIT_D = ["_revenue", "_net_income", "_ebit", "_total_assets", "_total_equity", "_total_debt",
@@ -140,6 +141,33 @@ _dpart("d13_revenue_growth", [("revenue_growth_yoy", "d")])
 _dpart("c4_completeness_gate_a", [("_n_missing", "i")])
 
 
+# ---------------------------------------------------------------- D1-D14 under dealt vocabularies
+def _dealt(spark, sf):
+    return fd.adapter_features(vocabularies.dealt_statements(spark, sf), b.firm(spark, sf), gate=False, paths=True)
+
+
+DEALT_CTES = (sb.base_ctes("ranked", dealt=True) + "," + sb.resolver_a_sql() + "," + sfe.adapter_sql(gate=False))
+DEALT_COLS = (ADAPTER_COLS + [(f"_{c}_path", "s") for c in fd.CHAIN_PATHS if c not in ("ebit", "current_ratio")])
+EVERY_PATH = sb.values_sql([(c, p) for c, ps in fd.CHAIN_PATHS.items() for p in [*ps, "none"]], ["chain", "path"])
+TAKEN = " UNION ALL ".join(f"SELECT '{c}' AS chain, coalesce(_{c}_path, 'none') AS path, _is_bank FROM adapter"
+                           for c in fd.CHAIN_PATHS)
+
+
+@register("d_paths_features", sql=select_sql(DEALT_CTES, "adapter", DEALT_COLS))
+def d_paths_features(spark, sf):
+    """Adapter rows of firms that file under different vocabularies, with the path
+    that each fallback chain took."""
+    return _dealt(spark, sf)
+
+
+@register("d_path_coverage", sql=f"""WITH {DEALT_CTES}
+SELECT e.chain, e.path, count(t.chain) AS n_firms, count(CASE WHEN t._is_bank THEN 1 END) AS n_banks
+FROM {EVERY_PATH} e LEFT JOIN ({TAKEN}) t ON t.chain = e.chain AND t.path = e.path GROUP BY e.chain, e.path""")
+def d_path_coverage(spark, sf):
+    """Firms by the path that each fallback chain of D1-D14 took."""
+    return fd.path_coverage(_dealt(spark, sf))
+
+
 # ---------------------------------------------------------------- B1-B7
 CRAWL_COLS = [("ticker", "s"), ("sector", "s")] + [(c, "d") for c in FEATS] + [("_n_ok", "i")]
 

@@ -10,7 +10,8 @@ from ratingspark.functions import fixed_values as fv
 from ratingspark.operators.fundamentals import lookups_variant_b
 from ratingspark.operators.items import lookups_variant_a
 from ratingspark.sources.bindings import (
-    PRICE_GRADE_DEFAULT, PRICE_GRADES, SEGMENT_SECTOR, SEGMENT_SECTOR_DEFAULT, STATEMENT_ITEMS)
+    FIRM_YEAR_AMOUNTS, PRICE_GRADE_DEFAULT, PRICE_GRADES, SEGMENT_SECTOR, SEGMENT_SECTOR_DEFAULT, STATEMENT_ITEMS)
+from ratingspark.sources.vocabularies import BANK_VOCABULARIES, COMPANY_VOCABULARIES, vocabulary_lines
 
 
 def q(s: str) -> str:
@@ -113,6 +114,30 @@ def _statement_item_sql() -> str:
 STATEMENT_ITEM = _statement_item_sql()
 
 
+def _dealt_statements_sql() -> str:
+    """``statement_item`` under the vocabularies of ``sources/vocabularies.py``."""
+    amounts = {k: f"CAST(fy.{k} AS DOUBLE)" for k in FIRM_YEAR_AMOUNTS}
+    amounts["total_equity"] = "CAST(fy.total_assets - fy.total_liabilities AS DOUBLE)"
+    amounts["long_term_assets"] = "CAST(fy.total_assets - fy.short_term_assets AS DOUBLE)"
+    amounts["percent"], amounts["multiple"] = "f.acctbal / 100.0", "f.acctbal / 1000.0"
+    lines = vocabulary_lines()
+    table = values_sql(lines, ["is_bank", "vocabulary", "statement", "item_id", "item_pos", "amount", "late"])
+    pick = " ".join(f"WHEN {q(k)} THEN {amounts[k]}" for k in sorted({line[5] for line in lines}))
+    bank = f"f.sector = {q(SEGMENT_SECTOR_DEFAULT)}"
+    return f"""
+newest_year AS (SELECT firm_id, max(period) AS newest FROM firm_year GROUP BY firm_id),
+statement_item AS (
+  SELECT f.ticker, v.statement, CAST(fy.period AS VARCHAR) AS period, v.item_pos, v.item_id,
+    CASE WHEN v.late AND fy.period = y.newest THEN NULL ELSE CASE v.amount {pick} END END AS value
+  FROM firm_year fy JOIN firm f USING (firm_id) JOIN newest_year y USING (firm_id)
+  JOIN {table} v ON v.is_bank = ({bank}) AND v.vocabulary = CAST('0x' || substr(md5(f.ticker), 1, 7) AS BIGINT)
+    % CASE WHEN {bank} THEN {len(BANK_VOCABULARIES)} ELSE {len(COMPANY_VOCABULARIES)} END
+)"""
+
+
+DEALT_STATEMENTS = _dealt_statements_sql()
+
+
 def period_key_sql(p: str) -> str:
     return (f"CASE WHEN regexp_full_match(trim({p}), '[0-9]+') THEN CAST(trim({p}) AS BIGINT) "
             f"WHEN regexp_full_match(trim({p}), '[0-9]+-Q[0-9]+') THEN "
@@ -132,9 +157,11 @@ ranked AS (
 )"""
 
 
-def base_ctes(*names: str) -> str:
+def base_ctes(*names: str, dealt: bool = False) -> str:
+    """The named CTEs and those that they need; ``dealt`` lands the statements under
+    their firms' vocabularies."""
     parts = {"firm": FIRM, "firm_year": FIRM_YEAR, "rating_event": RATING_EVENT,
-             "statement_item": STATEMENT_ITEM, "ranked": RANKED}
+             "statement_item": DEALT_STATEMENTS if dealt else STATEMENT_ITEM, "ranked": RANKED}
     need = set(names)
     if "ranked" in need:
         need |= {"statement_item"}

@@ -123,6 +123,32 @@ def adapter_sql(gate: bool = True) -> str:
         "log_revenue": f"CASE WHEN {truthy('rev')} THEN ln(1 + abs(rev)) END",
         "market_cap": "coalesce(rt_market_cap_0, 0.0)",
     }
+    nii, no_rev = "is_net_interest_income_0", "(is_revenue_0 IS NULL OR is_revenue_0 = 0)"
+    cases = {
+        "roce": [("rt_roce_direct_0 IS NOT NULL", "ratio_table"), ("ebit IS NULL", None),
+                 (f"{ta} - {cl} > 0", "assets_less_liabilities"),
+                 (f"{ta} - bs_short_term_liabilities_alt_roce_0 > 0", "alt_names"),
+                 (f"{te} + ltd > 0", "equity_plus_debt"), (f"{ta} > 0", "assets_proxy")],
+        "revenue": [(f"_is_bank AND {no_rev} AND total_income > 0", "bank_income_lines"),
+                    (f"_is_bank AND {no_rev} AND is_total_operating_income_0 > 0", "bank_operating_income"),
+                    ("is_revenue_0 IS NOT NULL", "reported")],
+        "liabilities": [("bs_total_liabilities_0 IS NOT NULL", "reported"), ("tl IS NOT NULL", "assets_less_equity")],
+        "roa": [(f"{sdiv('is_net_income_0', ta)} <> 0", "statements"), ("rt_roa_0 IS NOT NULL", "ratio_table")],
+        "roe": [(f"{sdiv('is_net_income_0', te)} <> 0", "statements"), ("rt_roe_0 IS NOT NULL", "ratio_table")],
+        "ebit_margin": [(f"abs({em}) > 1.0", "ratio_percent"), (f"{em} IS NOT NULL", "ratio_fraction"),
+                        ("abs(rev) > 1e-9 AND ebit IS NOT NULL", "ebit_over_revenue"),
+                        (f"_is_bank AND {nii} <> 0 AND {nim} IS NOT NULL", "bank_interest_over_assets")],
+        "net_debt": [(f"_is_bank AND {nii} <> 0 AND {nim} IS NOT NULL", "bank_interest_over_assets"),
+                     (f"{sdiv('(ltd + std) - cash', ebitda)} IS NOT NULL", "net_debt_over_ebitda")],
+        "growth": [("rt_revenue_growth_pct_0 IS NOT NULL", "ratio_table"),
+                   ("_is_bank AND rt_bank_growth_nii_0 IS NOT NULL", "bank_interest_ratio"),
+                   ("_is_bank AND rt_bank_growth_opp_0 IS NOT NULL", "bank_operating_ratio"),
+                   (f"{v0} IS NOT NULL AND abs({v1}) >= 1e-9", "periods")],
+        "depreciation": [("cf_depreciation_0 <> 0", "cash_flow"), ("is_depreciation_0 <> 0", "income")],
+    }
+    tags = ",\n    ".join(
+        "CASE " + " ".join(f"WHEN {c} THEN {q(t) if t else 'NULL'}" for c, t in whens) + f" END AS _{chain}_path"
+        for chain, whens in cases.items())
     feat_sel = ",\n    ".join(f"CAST({e} AS DOUBLE) AS {k}" for k, e in feats.items())
     gate_sql = f"WHERE _n_missing <= {fv.MAX_MISSING_REQUIRED}" if gate else ""
     return f"""
@@ -168,7 +194,8 @@ ad_s5 AS (
     {feat_sel},
     rev AS _revenue, is_net_income_0 AS _net_income, ebit AS _ebit, {ta} AS _total_assets,
     {te} AS _total_equity, ltd + std AS _total_debt, {ca} AS _current_assets, {cl} AS _current_liabilities,
-    _is_bank, ebit_path AS _ebit_path, cr_path AS _current_ratio_path
+    _is_bank, ebit_path AS _ebit_path, cr_path AS _current_ratio_path,
+    {tags}
   FROM ad_s4
 ),
 adapter AS (
