@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ratingspark.functions import fixed_values as fv
 from ratingspark.functions.scalars import normalize_sector
+from ratingspark.operators import comparison as cmp
 from ratingspark.operators import labels as lb
 from ratingspark.operators import metrics as mt
 from ratingspark.operators.fundamentals import materialize
@@ -241,6 +242,57 @@ def m4_cv_folds(spark, sf):
     return lb.assign_folds(labelled(spark, sf), label="rating_ordinal")
 
 
+# ---------------------------------------------------------------- Q9 of rules that need no fit
+RULES = {"Majority": [], "SectorMajority": ["sector"], "SourceMajority": ["data_source", "sector"]}
+
+
+def _rules_sql() -> str:
+    """The rules' predictions and their metrics, from the definition: every fold's
+    winners are counted over the rows of the other folds."""
+    def winners(cols):
+        group = "".join(f", x.{c}" for c in cols)
+        named = "".join(f", {c}" for c in cols)
+        return f"""SELECT repeat_, fold{named}, arg_max(truth, n * 100 - o) AS won FROM (
+  SELECT p.repeat_, p.fold{group}, x.truth, x.o, count(*) AS n
+  FROM places p JOIN x ON x.repeat_ = p.repeat_ AND x.fold <> p.fold GROUP BY ALL) c GROUP BY repeat_, fold{named}"""
+    preds = []
+    for name, cols in RULES.items():
+        on = " AND ".join(f"w.{c} IS NOT DISTINCT FROM x.{c}" for c in ["repeat_", "fold", *cols])
+        preds.append(f"""SELECT {q(name)} AS model, x.repeat_, x.fold, x.truth, coalesce(w.won, a.won) AS pred
+  FROM x LEFT JOIN ({winners([])}) a ON a.repeat_ = x.repeat_ AND a.fold = x.fold LEFT JOIN ({winners(cols)}) w ON {on}""")
+    place = "model, repeat_, fold"
+    return f"""folds AS ({_folds_sql()}),
+places AS (SELECT DISTINCT repeat_, fold FROM folds),
+x AS (SELECT c.ticker, c.credit_rating AS truth, {ordinal_sql('c.credit_rating')} AS o, c.sector, c.data_source,
+             f.repeat_, f.fold FROM train_clean c JOIN folds f ON f.ticker = c.ticker),
+preds AS ({" UNION ALL ".join(preds)}),
+cells AS (SELECT {place}, {ordinal_sql('truth')} AS t, {ordinal_sql('pred')} AS p, count(*) AS c FROM preds GROUP BY ALL),
+present AS (SELECT {place}, o, row_number() OVER (PARTITION BY {place} ORDER BY o) AS pos
+            FROM (SELECT {place}, t AS o FROM cells UNION SELECT {place}, p FROM cells) u),
+placed AS (SELECT {place}, i.pos AS i, j.pos AS j, c, t, p FROM cells JOIN present i USING ({place})
+           JOIN present j USING ({place}) WHERE i.o = t AND j.o = p),
+rows_ AS (SELECT {place}, i, sum(c) AS r FROM placed GROUP BY ALL),
+cols_ AS (SELECT {place}, j, sum(c) AS s FROM placed GROUP BY ALL),
+sums AS (SELECT {place}, sum(c) AS n, sum(CASE WHEN t = p THEN c ELSE 0 END) AS hits, sum(c * power(i - j, 2)) AS seen
+         FROM placed GROUP BY ALL),
+chance AS (SELECT {place}, sum(power(i - j, 2) * r * s) AS e FROM rows_ JOIN cols_ USING ({place}) GROUP BY ALL),
+k AS (SELECT {place}, max(pos) AS k FROM present GROUP BY ALL),
+per_fold AS (SELECT model, hits / n AS accuracy, CASE WHEN k <= 1 THEN 0.0 ELSE 1 - seen / (e / n) END AS kappa
+             FROM sums JOIN chance USING ({place}) JOIN k USING ({place}))"""
+
+
+@register("q9_majority_comparison", sql=W(qm.MERGE, qm.CLEAN, LBL, _SPLIT, _rules_sql()) + """
+SELECT model, CAST(count(*) AS BIGINT) AS n_folds, round(avg(accuracy), 6) + 0.0 AS mean_accuracy,
+       round(stddev_samp(accuracy), 6) + 0.0 AS std_accuracy, round(avg(kappa), 6) + 0.0 AS mean_kappa,
+       round(stddev_samp(kappa), 6) + 0.0 AS std_kappa FROM per_fold GROUP BY model""")
+def q9_majority_comparison(spark, sf):
+    """Cross-validated accuracy and kappa of majority rules, the baselines that a
+    fitted model has to beat."""
+    rows = materialize(lb.encode(qm.cleaned(spark, sf).select("ticker", "credit_rating", "sector", "data_source")), "rows")
+    folds = materialize(lb.assign_folds(rows.select("ticker", "rating_ordinal"), label="rating_ordinal"), "folds")
+    return cmp.cv_table(cmp.majority_predictions(RULES, rows, folds, truth="credit_rating"))
+
+
 # ---------------------------------------------------------------- J1, J3, J7, X9
 @register("j1_ratings_join_features", sql=W() + f"""
 SELECT e.ticker, CAST(e.event_id AS BIGINT) AS event_id, e.raw_rating, {qm.rd('f.roa')}, {qm.rd('f.debt_to_assets')}
