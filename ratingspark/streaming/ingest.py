@@ -26,6 +26,9 @@ from pyspark.sql.utils import AnalysisException
 from ratingspark.session import scratch_path
 
 KEY = "ticker"
+#: Conditions of a store without any winner: no folder yet, or one in which a first
+#: batch was cut short before it finished a file.
+NOTHING_STORED = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
 
 
 def land(df: DataFrame, landing_dir: str, drop: int) -> None:
@@ -34,12 +37,16 @@ def land(df: DataFrame, landing_dir: str, drop: int) -> None:
 
 
 def _winners(spark: SparkSession, store_dir: str, but: int) -> DataFrame | None:
-    """``(ticker, won)`` of all micro-batches but one."""
+    """``(ticker, won)`` of all micro-batches but one, or None where none has set a
+    winner. A store that cannot be read as one is an error, not a first batch:
+    taking it for one would admit every re-crawl again."""
     try:
-        return (spark.read.parquet(f"{store_dir}/winners").where(F.col("batch") != but)
-                .select(KEY, F.col("drop").alias("won")))
-    except AnalysisException:
-        return None  # the first batch
+        winners = spark.read.parquet(f"{store_dir}/winners")
+    except AnalysisException as error:
+        if error.getCondition() in NOTHING_STORED:
+            return None
+        raise
+    return winners.where(F.col("batch") != but).select(KEY, F.col("drop").alias("won"))
 
 
 def ingest_batch(batch: DataFrame, store_dir: str, batch_id: int) -> None:

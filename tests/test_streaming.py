@@ -1,6 +1,7 @@
 import uuid
 
 import pytest
+from pyspark.sql.utils import AnalysisException
 
 from ratingspark.session import scratch_path
 from ratingspark.streaming import ingest as si
@@ -52,3 +53,19 @@ def test_a_repeated_micro_batch_changes_nothing(spark):
         si.ingest_batch(batch if batch_id == 0 else batch.where("ticker = 'F1'"), store, batch_id)
     # batch 1 holds more rows of F1's winning drop, batch 0 its two rows, however often it ran
     assert si.stored(spark, store).count() == 3
+
+
+def test_a_damaged_store_is_no_first_batch(spark):
+    batch = spark.createDataFrame([("F1", "balance", "2024", 1, "total_assets", 1.0, 1)], SCHEMA + ", drop int")
+    _, store, _ = folders(spark)
+    spark.range(1).write.parquet(f"{store}/winners/batch=0")  # no ticker, no drop
+    with pytest.raises(AnalysisException):
+        si.ingest_batch(batch, store, 1)
+
+
+def test_a_first_batch_cut_short_is_done_again(spark):
+    batch = spark.createDataFrame([("F1", "balance", "2024", 1, "total_assets", 1.0, 1)], SCHEMA + ", drop int")
+    _, store, _ = folders(spark)
+    spark.range(1).write.parquet(f"{store}/winners/_temporary/part")  # files that no reader lists
+    si.ingest_batch(batch, store, 0)
+    assert si.stored(spark, store).count() == 1
