@@ -100,3 +100,27 @@ def test_tomek_links_and_weights(spark):
     assert {r.id for r in rs.tomek_links(df, "id", "grade", ["x"]).collect()} == {"a1", "b1", "a4", "b3"}
     out = rs.smote_tomek(sample(spark, {"a": 30, "b": 6}), "id", "grade", ["x", "y", "z"], weight="w")
     assert out.where("w is not null").count() == 0 and 0 < out.where("is_synthetic").count() <= 24
+
+
+def test_visits_do_not_grow_with_copies_nor_with_the_rows_of_a_cell(spark, monkeypatch):
+    """Copies are searched once, and a large class has more cells instead of more chunks a cell."""
+    draw = np.random.default_rng(5)
+    x = np.concatenate([np.ones((600, 2)), draw.normal(size=(900, 2)) * 50])
+    df, keys = table(spark, x, ["a"] * len(x))
+    written = {}
+    keep = nb.materialize
+    monkeypatch.setattr(nb, "materialize", lambda d, name: written.setdefault(name, keep(d, name)))
+    assert got(nb.nearest(df, 3, cell=60)) == brute(x, ["a"] * len(x), keys, 3)
+    assert written["neighbour-visits"].count() < len(x)
+
+
+def test_search_of_leaves_equals_all_pairs():
+    """Far from zero the matrix product is rough; the distances are exact all the same."""
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.normal(size=(300, 5)) + 1e6, draw.integers(0, 3, (300, 5)) + 1e6])
+    number = np.arange(600)
+    found, place = nb.best(x, number, np.full(600, np.inf), x, number, 4, leaf=32)
+    for n in range(600):
+        d = sum((x[n, f] - x[:, f]) ** 2 for f in range(5))
+        order = [j for j in np.lexsort((number, d)) if j != n][:4]
+        assert place[n].tolist() == order and found[n].tolist() == d[order].tolist()
