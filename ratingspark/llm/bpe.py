@@ -178,13 +178,17 @@ def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(tokenizer.value)
         known: dict = {}
+        older: dict = {}  # words known before ``known`` was last full; those met again go over
 
         def flush(held: list, out: list) -> None:
-            fresh = {w for _, words in held for w in words if w not in known}
-            if len(known) + len(fresh) > HELD_WORDS:  # only the words at hand stay
-                stay = {w: known[w] for _, words in held for w in words if w in known}
-                known.clear()
-                known.update(stay)
+            nonlocal known, older
+            fresh = set().union(*(words for _, words in held)).difference(known)
+            if len(known) + len(fresh) > HELD_WORDS // 2:
+                known, older = {}, known
+                fresh = set().union(*(words for _, words in held))
+            again = fresh.intersection(older)
+            known.update((w, older[w]) for w in again)
+            fresh -= again
             for special in [w for w in fresh if isinstance(w, int)]:
                 known[special] = array("I", [special]).tobytes()
                 fresh.discard(special)
