@@ -3,10 +3,10 @@ Spark ML alone.
 
 A multinomial logistic regression over word n-grams is fitted on notices of
 each licence family, on variants of them with words left out, and on sentences
-of an ``unknown`` class. Only n-grams that hold one of ``ANCHORS`` are
-features, so a paragraph without any anchor has none and is unknown without
-being scored: the search for anchors loses nothing. Scores are sums of joined
-n-gram weights. A family's threshold is calibrated on held-out variants: above
+of an ``unknown`` class. Scored are all paragraphs that hold one of ``ANCHORS``
+and all others that a notice could confirm. The search for these loses none:
+whoever holds enough words of a notice holds one of any set of its words that is
+larger than the rest (``signs``). Scores are sums of joined n-gram weights. A family's threshold is calibrated on held-out variants: above
 every probability that it gets on unknown ones. A prediction is confirmed if
 ``CONFIRMED`` of the words of one of the family's notices are in the paragraph.
 
@@ -22,6 +22,8 @@ predicted; other columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +38,7 @@ VARIANTS = 24
 CONFIRMED = 0.6
 LEAST = 0.5
 
-#: Parts of words that every feature must hold.
+#: Parts of words that tell of rights in a work.
 ANCHORS = ["licen", "copyright", "permission", "warrant", "redistribut", "apache", "gnu", "gpl", "bsd", "mozilla",
            "creative", "cc0", "public domain", "spdx", "unlicense"]
 
@@ -101,6 +103,10 @@ NOTICES = {
         "This software is proprietary and confidential; unauthorised copying is prohibited without a licence."],
 }
 
+#: Words of notices that are frequent in any text.
+PLAIN = set("""a an and any are as at be by can either express following for free from have in is it must not of on or
+ part shall should subject that the this to under use was with work you your""".split())
+
 #: Sentences with the same words that state no licence.
 OTHERS = [
     "You need a valid driving licence to rent a car here.",
@@ -127,14 +133,13 @@ def words(c: Column) -> Column:
 
 
 def grams(own: str) -> Column:
-    """The distinct n-grams, up to ``GRAMS`` words, of a column of words that
-    hold an anchor."""
+    """The distinct n-grams, up to ``GRAMS`` words, of a column of words."""
     def runs(n: int) -> Column:
         joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - (n - 1), F.lit(1))),
                              lambda at: F.array_join(F.slice(own, at, n), " "))
         return F.when(F.size(own) >= n, joined).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.filter(F.concat(*[runs(n) for n in range(1, GRAMS + 1)]), holds_anchor))
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAMS + 1)]))
 
 
 def holds_anchor(c: Column) -> Column:
@@ -145,6 +150,37 @@ def holds_anchor(c: Column) -> Column:
     return found
 
 
+def notice_words() -> list[list[str]]:
+    """The distinct words of each notice, as ``words`` finds them."""
+    found = [re.split(r"[^\w.+-]+|\.(?= |$)", s.lower()) for own in NOTICES.values() for s in own]
+    return [list(dict.fromkeys(w for w in own if w)) for own in found]
+
+
+def signs() -> list[str]:
+    """Words of which each paragraph that could be confirmed holds one: of each
+    notice one more than may be missing, the plain words last."""
+    out = set()
+    for own in notice_words():
+        least = next(n for n in range(len(own) + 1) if n / len(own) >= CONFIRMED)
+        out.update(sorted(own, key=lambda w: (w in PLAIN, -len(w), w))[:len(own) - least + 1])
+    return sorted(out)
+
+
+def holds_sign(own: Column) -> Column:
+    return F.arrays_overlap(own, F.array(*[F.lit(w) for w in signs()]))
+
+
+def of_notices(own: Column) -> Column:
+    """The distinct words of a column of words that any notice has."""
+    return F.array_intersect(own, F.array(*[F.lit(w) for w in sorted({w for n in notice_words() for w in n})]))
+
+
+def confirmable(own: Column) -> Column:
+    """Whether a column of ``of_notices`` holds enough of any notice."""
+    notices = F.array(*[F.array(*[F.lit(w) for w in n]) for n in notice_words()])
+    return holds_sign(own) & F.exists(notices, lambda n: F.size(F.array_intersect(own, n)) / F.size(n) >= CONFIRMED)
+
+
 def sentences(text: str) -> Column:
     """The sentences of a text that stand on several lines, as structs of
     ``paragraph`` and ``last``, their first and last line, and ``line``, the
@@ -171,8 +207,7 @@ def training_rows(spark: SparkSession) -> DataFrame:
     keep = lambda w, at: F.pmod(F.xxhash64(w, at, F.col("variant")), F.lit(100)) >= F.pmod(
         F.col("variant"), F.lit(5)) * 10
     left = F.array_join(F.filter(F.split("sentence", " "), keep), " ")
-    return (variant.select("family", left.alias("sentence"), F.pmod("variant", F.lit(3)).alias("fold"))
-            .where(holds_anchor(F.col("sentence"))))
+    return variant.select("family", left.alias("sentence"), F.pmod("variant", F.lit(3)).alias("fold")).where("sentence != ''")
 
 
 class Classifier:
@@ -221,21 +256,25 @@ def train(spark: SparkSession) -> Classifier:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that holds an anchor: id, ``paragraph`` (0-based
+    """One row per paragraph that holds an anchor or enough words of a notice: id, ``paragraph`` (0-based
     number of its first line), ``family`` (``unknown`` below the threshold),
     ``probability``, ``similarity`` to the nearest notice of the family,
     ``confirmed``."""
     spark = docs.sparkSession
     low = F.lower(F.col(f"`{text_col}`"))
     # an anchor of two words can be wrapped as well
-    texts = (docs.where(holds_anchor(F.col(f"`{text_col}`")) | (low.contains("public") & low.contains("domain")))
+    texts = (docs.where(holds_anchor(F.col(f"`{text_col}`")) | (low.contains("public") & low.contains("domain"))
+                        | holds_sign(words(F.translate(F.col(f"`{text_col}`"), "\r\n\t", "   "))))
              .select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
              .withColumn("doc", F.monotonically_increasing_id()))
     alone = F.transform(F.split("text", "\n"), lambda line, k: F.struct(
         k.alias("paragraph"), k.alias("last"), line.alias("line")))
-    lines = (texts.select("id", "doc", F.explode(F.filter(F.concat(alone, sentences("text")), lambda p: holds_anchor(
-        p["line"]))).alias("p")).select("id", "doc", "p.*")
-        .withColumns({"row": F.monotonically_increasing_id(), "words": words(F.col("line"))}))
+    # a line's words of notices are found once, within the generated column
+    known = F.transform(F.concat(alone, sentences("text")), lambda p: F.struct(p["paragraph"], p["last"], p["line"], F.when(
+        ~holds_anchor(p["line"]), of_notices(words(p["line"]))).alias("some")))
+    lines = (texts.select("id", "doc", F.explode(known).alias("p")).select("id", "doc", "p.*")
+             .where(F.col("some").isNull() | confirmable(F.col("some"))).drop("some")
+             .withColumns({"row": F.monotonically_increasing_id(), "words": words(F.col("line"))}))
     lines = written(lines, "licence-paragraphs")
     model = train(spark)
     threshold = F.create_map(*[F.lit(x) for pair in model.thresholds.items() for x in pair])

@@ -87,3 +87,19 @@ def test_long_runs_of_comment_marks(spark):
     rows = [(k, mark * (1_000_000 // len(mark)) + " license\n" + "Released under the MIT License.") for k, mark in enumerate(marks)]
     got = ls.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r.doc_id for r in got if r.family == "mit"} == set(range(len(marks)))
+
+
+def test_notices_without_an_anchor(spark):
+    rows = [(1, "Some words\nDistributed under CC BY 4.0.\nmore words"), (2, "# Distributed under\n# CC BY-SA 4.0.\n"),
+            (3, "The account was held under the bridge by 4.0 men.")]
+    got = {(r.doc_id, r.paragraph, r.family) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.confirmed}
+    assert got == {(1, 1, "creative commons"), (2, 1, "creative commons")}  # its second line alone is confirmed
+
+
+def test_signs_lose_no_paragraph(spark):
+    """Any words of a notice that would confirm it hold a sign."""
+    own, marks = ls.notice_words(), set(ls.signs())
+    split = spark.createDataFrame([(s,) for n in ls.NOTICES.values() for s in n], "s string")
+    assert [list(dict.fromkeys(r.w)) for r in split.select(ls.words(ls.F.col("s")).alias("w")).collect()] == own
+    for words in own:
+        assert len([w for w in words if w not in marks]) / len(words) < ls.CONFIRMED
