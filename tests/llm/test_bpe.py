@@ -56,3 +56,42 @@ def test_empty_table_and_bad_ids(spark, no_docs):
         half = bpe.Vocabulary(file.read()).ids[b"\xc3"]  # the first byte of a longer character
     df = spark.createDataFrame([(1, bytearray(np.array([half], "<u4").tobytes())), (2, None)], "doc_id long, ids binary")
     assert [r.decoded for r in bpe.decode(df).orderBy("doc_id").collect()] == ["\ufffd", ""]
+
+
+def test_pairs_are_judged_once_and_forgotten_within_the_bound(library, monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        text = file.read()
+    rng = random.Random(2)
+    words = ["".join(rng.choices(["th", "in", "er", "onti", "ble", "wh"], k=5)) for _ in range(3000)]
+    want = {w: library.encode(w, add_special_tokens=False).ids for w in words}
+    judged = []
+    for bound in (10**9, 50):
+        monkeypatch.setattr(bpe, "HELD_PAIRS", bound)
+        vocabulary = bpe.Vocabulary(text)
+        plain = vocabulary._end
+        monkeypatch.setattr(vocabulary, "_end", lambda *key: judged.append(key) or plain(*key))
+        for _ in range(2):
+            got = {w.decode(): np.frombuffer(ids, "<u4").tolist() for w, ids in vocabulary.walk([w.encode() for w in want])}
+            assert got == want
+        kept = sum(len(near) for near in vocabulary.apart if near)
+        assert kept == vocabulary.held <= bound
+        if bound == 10**9:
+            assert len(judged) == 2 * kept  # both sides of each pair, once
+
+
+def test_joined_tokens_of_any_part():
+    import pyarrow as pa
+    spelled = pa.array([b"a", b"", b"\xc3", b"xyz"], pa.binary())
+    for codes in ([], [1, 1], [3, 0, 2, 1, 3]):
+        want = b"".join(spelled[k].as_py() for k in codes)
+        assert bpe._joined(spelled.take(pa.array(np.array(codes, "<u4")))) == want
+
+
+def test_plain_pattern_splits_as_the_published_one():
+    import regex
+    rng = random.Random(3)
+    published, odd = regex.compile(bpe.PATTERN), "'s't're've'm'll'd  \n\t\x1c\x85\xa0ªº²¼×÷éß'"
+    for k in range(3000):
+        text = "".join(rng.choices([chr(c) for c in range(256)] if k % 2 else list(odd), k=40))
+        assert bpe._below_256(text) and bpe.PLAIN.findall(text) == published.findall(text)
+    assert not bpe._below_256("aĀ")
