@@ -83,3 +83,47 @@ def test_long_statements_stay_in_the_partitions_of_their_ticker(spark, tmp_path)
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
     assert any(re.match(r"ticker#\d+, \d+$", keys) for keys in dealt)
     assert not [keys for keys in dealt if "statement#" in keys]
+
+
+def test_rows_of_cells_equal_the_long_rows(spark, capsys):
+    """Cells of a period in one row, some of them in another: ranked as rows, the same values."""
+    own = items(spark)
+    cells = own.withColumn("_part", F.col("item_pos") % 2).groupBy("ticker", "statement", "period", "_part").agg(
+        F.collect_list(F.struct("item_pos", "item_id", "value")).alias("cells")).drop("_part")
+    rows = lambda df: sorted(map(str, it.statement_rows(df).collect()))
+    assert rows(cells) == rows(own)
+    it.statement_rows(cells).explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.index("Generate inline") < plan.index("Window")  # the printed plan ends with its sources
+
+
+def test_a_firm_year_is_dealt_once_by_ticker(spark, tmp_path):
+    from ratingspark.sources import bindings as b
+    tables = {"customer": ([(1, "A", 1, -5.0, "BUILDING"), (2, "B", 1, 2000.0, "HOUSEHOLD"), (2, "B2", 1, 3000.0, None),
+                            (None, "C", 1, 1.0, "BUILDING")],
+                           "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+              "nation": ([(1, "N", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+              "region": ([(0, "R")], "r_regionkey int, r_name string"),
+              "orders": ([(7, 1, "2020-05-01"), (8, 2, "2021-05-01"), (9, None, "2021-05-01")],
+                         "o_orderkey long, o_custkey long, o_orderdate string"),
+              "lineitem": ([(7, 100.0, 0.1, 0.02, "A", "F"), (8, 50.0, None, 0.0, "N", "O"), (9, 1.0, 0.0, 0.0, "R", "F")],
+                           "l_orderkey long, l_extendedprice double, l_discount double, l_tax double, "
+                           "l_returnflag string, l_linestatus string")}
+    for name, (rows, schema) in tables.items():
+        df = spark.createDataFrame(rows, schema)
+        if name == "orders":
+            df = df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    long, cells = b.statement_item(spark, str(tmp_path)), b.statement_cells(spark, str(tmp_path))
+    assert sorted(map(str, cells.select("ticker", "statement", "period", F.inline("cells")).collect())) == sorted(
+        map(str, long.collect()))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # firms as many as on a large set
+    try:
+        plans = [it.statement_rows(df.select("*"))._jdf.queryExecution().executedPlan().toString() for df in (long, cells)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    for plan in plans:
+        dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+        # the years by firm and year, then by ticker: not by firm alone in between
+        assert not [keys for keys in dealt if re.match(r"(o_custkey|firm_id)#\d+L?, \d+$", keys)]
