@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from ratingspark.llm import lang_id
 
 
@@ -40,6 +42,32 @@ def many_labels(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows
 
 
+def test_rows_past_the_first_sample_teach_too(spark):
+    docs, _ = many_labels(spark)
+    every, some = (lang_id.train(docs, sample=n, calibrated=True) for n in (lang_id.SAMPLE, 12))
+    assert every.names == some.names and set(every.least) == set(some.least)
+
+    def loss(machines, name, x, y):
+        w = machines.weights[machines.names.index(name)]
+        weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        return 0.0005 * w @ w + weight @ np.maximum(0, 1 - y * (x @ w)) ** 2
+
+    taught = docs.where(lang_id.is_training_row("doc_id")).collect()
+    for name, a, b in lang_id.Machines.pairs(list({r.lang for r in taught})):
+        side = (lambda r: r.lang) if name.startswith("label") else lambda r: lang_id.family_of(r.lang)
+        rows = [r for r in taught if side(r) in (a, b)]
+        x, y = np.stack([lang_id.features(r.text) for r in rows]), np.array([1.0 if side(r) == a else -1.0 for r in rows])
+        assert loss(some, name, x, y) <= 1.02 * loss(every, name, x, y)
+    assert np.allclose(every.shape, some.shape, rtol=0.1, atol=0.1)
+    assert all(abs(every.least[k] - some.least[k]) < 0.05 for k in every.least)
+
+
+def test_packed_counts_give_the_features_back():
+    texts = ["", "!", "one", "a" * 300, "Äö é 漢字 " * 900]
+    x = lang_id.unpacked(*zip(*[lang_id.packed_counts(t) for t in texts]))
+    assert all((row == lang_id.features(t)).all() for row, t in zip(x, texts))
+
+
 def test_certain_choice_scores_near_one_with_many_labels(spark):
     docs, rows = many_labels(spark)
     got = {r.doc_id: r for r in lang_id.predictions(docs).collect()}
